@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, media, mixing, url_filter
+from . import bpe, embeddings, html_text, jaccard, license_scan, media, mixing, url_filter
 
 #: Vocabulary that op5 and the pipeline's last stage encode with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,12 +41,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(table(spark, sf_dir, "documents"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
     "op4_media": op4_media,
     "op5_bpe": op5_bpe,
+    "op6_html_text": op6_html_text,
+    "op7_jaccard": op7_jaccard,
+    "op9_embeddings": op9_embeddings,
 }
 
 ORACLE = {
