@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,3 +60,28 @@ def has_text(column: str, schema: T.StructType) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, as the word contracts ask."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words per text, each word's place in the list of distinct words, and that list.
+
+    Works on whole Arrow buffers; splits at the blanks above and nowhere else, whatever
+    the process's locale, and lower-cases A-Z only.
+    """
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
+    if lower and texts.buffers()[2]:
+        raw = np.frombuffer(texts.buffers()[2], np.uint8).copy()
+        raw[(raw >= 65) & (raw <= 90)] += 32
+        texts = pa.Array.from_buffers(texts.type, len(texts), [texts.buffers()[0], texts.buffers()[1], pa.py_buffer(raw)], offset=texts.offset)
+    for blank in "\t\n\x0b\x0c\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    lists = pc.split_pattern(texts, " ")
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:  # beside a leading, trailing or second blank
+        real = index != words.index("")
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths)).astype(np.int64)
+        index = index[real]
+    return lengths, index, words

@@ -53,22 +53,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words per text, and every word's 64-bit hash in order. Each distinct word of
     the batch is hashed once."""
     import xxhash
 
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    words = coded.dictionary.to_pylist()
+    lengths, index, words = common.split_words(texts, lower=True)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-    if "" in words:  # a text that starts or ends with a blank
-        real = index != words.index("")
-        owner = np.repeat(np.arange(len(lengths)), lengths)[real]
-        lengths, index = np.bincount(owner, minlength=len(lengths)).astype(np.int64), index[real]
     return lengths, hashes[index] if len(words) else np.zeros(0, np.uint64)
 
 

@@ -160,3 +160,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         .withColumn("copies", copies.cast("long"))
         .select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def apply(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``df`` with each row as often as the mix takes it. Rows that repeat an id are
+    one document: each gets the most copies that one of them has. Rows with a null id
+    have no copies to be found by and stay once."""
+    copies = mix(df, key, **options).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("copies").cast("int").alias("__copies"))
+    copies = common.small_enough(common.materialize(copies, "copies"))
+    rows = df.join(copies, key, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*df.columns)

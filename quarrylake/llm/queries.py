@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html_text, jaccard, license_scan, media, mixing, url_filter
+from . import bpe, embeddings, html_text, jaccard, license_scan, line_dedup, media, mixing, quality, url_filter
 
 #: Vocabulary that op5 and the pipeline's last stage encode with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -49,10 +49,18 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_mixing": op2_mixing,
@@ -61,7 +69,9 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_html_text": op6_html_text,
     "op7_jaccard": op7_jaccard,
+    "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
