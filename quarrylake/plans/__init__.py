@@ -1 +1 @@
-
+"""SQL over paths, and the registered queries."""
