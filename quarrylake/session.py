@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -35,3 +36,12 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts this package's folder on the Python workers' path, for sessions that were
+    started elsewhere. A cluster without a shared file system needs --py-files too."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
