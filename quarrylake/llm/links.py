@@ -18,7 +18,7 @@ from . import common
 #: Rounds of leaders before what is left is compared pair by pair.
 LEADER_ROUNDS = 6
 #: Pairs per posting up to which the rest is compared at once.
-PAIRS_PER_POSTING = 2.0
+PAIRS_PER_POSTING = 24
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,18 +61,20 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     own = postings.select("key", "node", "rank").distinct()
     wide = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     own = common.materialize(own.join(wide, "key"), "postings")
-    found: list[DataFrame] = []
     labels = None
     for i in range(rounds + 1):
-        open_ = own.withColumn("comp", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        if i:
+        if labels is None:
+            open_ = own.withColumn("comp", F.col("node"))
+        else:
+            open_ = own.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
             mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            open_ = common.materialize(open_.join(mixed, "key"), "open")
+            own = common.materialize(open_.join(mixed, "key"), "open")
+            open_, own = own, own.drop("comp")
         sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = sizes.agg(F.sum("m").alias("m"), F.sum(F.expr("(m * m - q) div 2")).alias("pairs")).first()
         if not left["pairs"]:
             break
-        last = i == rounds or left["pairs"] <= max(1000, PAIRS_PER_POSTING * left["m"])
+        last = i == rounds or (i and left["pairs"] <= PAIRS_PER_POSTING * left["m"])
         if last:
             one, other = (open_.select("key", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "xy")
             pairs = _pairs(one.join(other, "key").where("x < y and comp_x <> comp_y"))
@@ -80,8 +82,10 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             order = F.struct("rank", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "node")
             heads = open_.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("head"))
             pairs = _pairs(open_.join(heads, "key").where("comp <> head.comp").select(F.col("node").alias("x"), F.col("head.node").alias("y")))
-        found.append(common.materialize(verify(pairs).select("a", "b"), "links"))
-        labels = common.materialize(components(reduce(DataFrame.unionByName, found)), "labels")
+        found = common.materialize(verify(pairs).select("a", "b"), "links")
+        if labels is None or not found.isEmpty():
+            before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            labels = common.materialize(components(reduce(DataFrame.unionByName, [found, *before])), "labels")
         if last:
             break
     if labels is None:
