@@ -37,7 +37,8 @@ class AvroFile:
             if n < 0:
                 n, _ = -n, self._long()
             for _ in range(n):
-                meta[self._bytes().decode()] = self._bytes()
+                key = self._bytes().decode()
+                meta[key] = self._bytes()
         self.schema = json.loads(meta["avro.schema"])
         self.codec = meta.get("avro.codec", b"null").decode()
         self.mark = self._take(16)

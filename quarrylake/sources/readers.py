@@ -115,11 +115,11 @@ def read_group(spark: SparkSession, paths: Sequence[str], f: Format, typed: bool
         return f.reader(spark, paths)
     if f.kind == "parquet":
         return spark.read.option("recursiveFileLookup", True).parquet(*paths)
+    if f.kind == "orc":
+        return spark.read.option("recursiveFileLookup", True).orc(paths)
     if f.kind not in _hinted:
         _hinted.add(f.kind)
         warnings.warn(f"{f.kind} files are read slower than Parquet; consider lake.ingest(auto_normalize=True)", stacklevel=2)
-    if f.kind == "orc":
-        return spark.read.option("recursiveFileLookup", True).orc(paths)
     if f.kind == "delimited":
         return _delimited(spark, paths, f, typed)
     if f.kind == "json":
