@@ -7,6 +7,7 @@ literals stay as they are. Spark's own parser, optimiser and scans do the rest.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ TOKEN = re.compile(
 )
 #: Words after which a table is named, and words that end a list of tables.
 TABLES, OVER = ("from", "join"), frozenset("where group having order limit on using union intersect except select set window qualify lateral offset fetch".split())
+#: Environment switch and folder of the copies of row formats.
+CACHE, CACHE_FOLDER = "QUARRY_SQL_CACHE", ".quarry_cache"
 QUERY = re.compile(r"\s*(?:\(|select\b|with\b|values\b|explain\b|describe\b|show\b|from\b|table\b)", re.I)
 
 
@@ -58,6 +61,22 @@ def path_places(parts: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """A single file; with the switch CACHE on, a row format is first written as Parquet
+    beside it, and again when the file is newer than its copy."""
+    kind = readers.format_of(path, spark).kind
+    if os.environ.get(CACHE, "").lower() not in ("1", "true") or kind in ("parquet", "orc"):
+        return readers.read_file(spark, path, typed=True)
+    folder, _, name = path.rpartition("/")
+    copy = f"{folder or '.'}/{CACHE_FOLDER}/{name}.parquet"
+    own, old = files.info(spark, path), files.info(spark, copy)
+    if old is None or old.mtime_ms < own.mtime_ms:
+        stage = f"{copy}.{uuid.uuid4().hex}"
+        readers.read_file(spark, path, typed=True).write.option("compression", "zstd").parquet(stage)
+        files.move(spark, stage, copy)
+    return spark.read.parquet(copy)
+
+
 def bind(spark: SparkSession, query: str) -> tuple[str, list[str]]:
     """The text with views for paths, and the views' names."""
     parts = tokens(query)
@@ -68,7 +87,7 @@ def bind(spark: SparkSession, query: str) -> tuple[str, list[str]]:
             found = files.info(spark, path)
             if found is None:
                 raise QueryError(f"No such file or folder: {path}")
-            df = readers.read_files(spark, discovery.data_files(spark, path), typed=True) if found.is_dir else readers.read_file(spark, path, typed=True)
+            df = readers.read_files(spark, discovery.data_files(spark, path), typed=True) if found.is_dir else cached(spark, path)
             views[path] = f"quarry_{uuid.uuid4().hex[:12]}"
             df.createOrReplaceTempView(views[path])
         parts[i] = ("name", views[path])

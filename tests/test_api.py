@@ -202,6 +202,17 @@ def test_sql_errors_and_streams(spark, engine, tmp_path):
     assert engine.execute_sql(f"SELECT '{path}' AS p, \"fare_amount\" FROM '{path}' x LIMIT 1").column("p").to_pylist() == [path]
 
 
+def test_sql_cache(spark, engine, tmp_path, monkeypatch):
+    path = fx.delimited(tmp_path / "t.csv", ",")
+    monkeypatch.setenv("QUARRY_SQL_CACHE", "1")
+    count = lambda: engine.execute_sql(f"SELECT COUNT(*) AS n FROM '{path}'").column("n").to_pylist()[0]
+    assert count() == 6 and os.path.isdir(tmp_path / ".quarry_cache" / "t.csv.parquet")
+    fx.delimited(tmp_path / "t.csv", ",", fx.TAXI[:2])
+    os.utime(path, (2e9, 2e9))
+    assert count() == 2
+    assert len(discovery.data_files(spark, str(tmp_path))) == 1
+
+
 def test_cell_magic(spark, tmp_path):
     from quarrylake.magic import run_cell
 
