@@ -17,6 +17,8 @@ BLANKS = r"\x20\x09-\x0D"
 
 #: Rows up to which a written side may be broadcast; wider rows get a smaller bound.
 BROADCAST_ROWS = 500_000
+#: Bytes up to which a written side of wide rows may be broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,12 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def light_enough(df: DataFrame, size: Column, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a *materialized* side for broadcast only when its rows' summed ``size``
+    is within ``max_bytes``."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-blank characters; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANKS}]+")), F.lit(0)).cast("long")

@@ -136,7 +136,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Postings (key, node, rank) after orders A and R, from (node, n, lead)."""
     tokens = classes.select("node", "n", F.explode("lead").alias("key"))
     shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    held = tokens.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
     partner = F.expr(f"({percent} * n + 99) div 100")
     least = F.expr(f"1 + (({percent} * n + 99) div 100) div {EXTRA}")
     lead = F.least(F.col("n"), F.col("n") - partner + 1 + F.expr(f"n div {EXTRA}"))
@@ -165,11 +165,12 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     firsts = real.groupBy("node").agg(F.min("id").alias("first"))
     classes = real.join(firsts, "node").where("id = first").select("node", "n", "lead", "first")
     postings = common.materialize(candidates(classes, percent), "candidates")
-    wide = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    wanted = postings.join(wide, "key").select("node").distinct().join(firsts, "node")
+    postings = common.materialize(links.several(postings), "postings")
+    wanted = postings.select("node").distinct().join(firsts, "node")
     wanted = common.small_enough(common.materialize(wanted, "wanted"))
     texts = df.select(F.col(key).alias("first"), F.col(text).cast("string").alias("t")).join(wanted, "first").select("node", "t")
     sets = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
+    sets = common.light_enough(sets, 8 * (F.size("tokens") + F.size("other")))
     groups = links.shared_key_components(postings, verifier(sets, percent))
     least = groups.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     named = common.materialize(groups.join(least, "component").select("node", "least"), "groups")

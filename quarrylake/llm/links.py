@@ -2,7 +2,7 @@
 
 Everything stays distributed: links, labels and postings are tables in the shared
 folder, never collected. Iterations are cut by written tables, so a lost executor
-repeats one step.
+repeats one step. Sides are broadcast only after they are counted.
 """
 
 from __future__ import annotations
@@ -21,6 +21,13 @@ LEADER_ROUNDS = 6
 PAIRS_PER_POSTING = 24
 
 
+def _only_stars(e: DataFrame) -> bool:
+    """Whether every u of the links (u > v) hangs on one v that hangs on nothing."""
+    tops = e.groupBy("u").agg(F.count("*").alias("n"))
+    wrong = tops.where("n > 1").select("u").unionByName(e.select(F.col("v").alias("u")).join(tops.select("u"), "u", "left_semi"))
+    return wrong.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its least node) for all nodes of ``edges`` (a, b).
 
@@ -29,28 +36,29 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = common.materialize(e, "edges")
-    mark = None
-    while True:
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if not now["n"] or (now["n"], now["x"]) == mark:
-            break
-        mark = (now["n"], now["x"])
+    while not _only_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = common.materialize(small, "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def several(postings: DataFrame) -> DataFrame:
+    """The postings whose key more than one of them has."""
+    return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
+
+
 def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
-    ``postings`` (key, node, rank) and pass ``verify`` (pairs a, b in, links out).
+    ``postings`` (key, node, rank; written before, each row once) and pass ``verify``
+    (pairs a, b in, links out).
 
     A pair within one component needs no check, so all members of a key are first
     held against one leader, the least by rank; members that it did not draw in meet
@@ -58,36 +66,31 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     that shares a key ends up checked or within one component: no link is lost, and
     a group of near copies costs about its size instead of its square.
     """
-    own = postings.select("key", "node", "rank").distinct()
-    wide = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    own = common.materialize(own.join(wide, "key"), "postings")
     labels = None
     for i in range(rounds + 1):
         if labels is None:
-            open_ = own.withColumn("comp", F.col("node"))
+            rest, last = postings.withColumn("comp", F.col("node")), False
         else:
-            open_ = own.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            own = common.materialize(open_.join(mixed, "key"), "open")
-            open_, own = own, own.drop("comp")
-        sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = sizes.agg(F.sum("m").alias("m"), F.sum(F.expr("(m * m - q) div 2")).alias("pairs")).first()
-        if not left["pairs"]:
-            break
-        last = i == rounds or (i and left["pairs"] <= PAIRS_PER_POSTING * left["m"])
+            named = postings.join(common.small_enough(labels), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+            mixed = sizes.agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("comps > 1")
+            mixed = common.materialize(mixed, "mixed")
+            left = mixed.agg(F.sum("m").alias("m"), F.sum(F.expr("(m * m - q) div 2")).alias("pairs")).first()
+            if not left["pairs"]:
+                break
+            rest = named.join(common.small_enough(mixed.select("key")), "key")
+            last = i == rounds or left["pairs"] <= PAIRS_PER_POSTING * left["m"]
         if last:
-            one, other = (open_.select("key", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "xy")
+            one, other = (rest.select("key", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "xy")
             pairs = _pairs(one.join(other, "key").where("x < y and comp_x <> comp_y"))
         else:
             order = F.struct("rank", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "node")
-            heads = open_.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("head"))
-            pairs = _pairs(open_.join(heads, "key").where("comp <> head.comp").select(F.col("node").alias("x"), F.col("head.node").alias("y")))
+            heads = rest.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("head"))
+            pairs = _pairs(rest.join(heads, "key").where("comp <> head.comp").select(F.col("node").alias("x"), F.col("head.node").alias("y")))
         found = common.materialize(verify(pairs).select("a", "b"), "links")
         if labels is None or not found.isEmpty():
             before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
             labels = common.materialize(components(reduce(DataFrame.unionByName, [found, *before])), "labels")
         if last:
             break
-    if labels is None:
-        return own.select("node", F.col("node").alias("component")).limit(0)
     return labels
