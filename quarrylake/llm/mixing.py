@@ -89,7 +89,8 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int) -
     items: list[tuple[int, int]] = []
     usable = [i for i in range(len(lengths)) if 0 < lengths[i] <= limit and counts[i] > 0]
     unit = int(np.gcd.reduce(lengths[usable])) if usable else 1
-    best = budget // unit * unit
+    best = budget // unit * unit  # the nearest sum that can be
+    best += unit if best + unit <= limit and best + unit - budget < budget - best else 0
     for i in usable:
         most, step = min(int(counts[i]), limit // int(lengths[i])), 1
         while most > 0 and not reach[best]:
