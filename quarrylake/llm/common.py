@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20, max_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of a few MB of text, whatever its rows hold; a longer text is
+    a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at] - sizes[at]) + max_bytes, side="right"))
+        to = min(max(to, at + 1), at + max_rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words per text, each word's place in the list of distinct words, and that list.
 

@@ -43,7 +43,6 @@ PERCENT = 85
 EXTRA = 10
 #: Odd numbers that mix word hashes and permute tokens (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-SLICE = 2_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,8 +98,7 @@ def _list(arrays: list[np.ndarray]) -> pa.Array:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        yield from common.slices(b, 1, max_bytes=8 << 20)
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:

@@ -45,7 +45,8 @@ SHAPES = 7
 #: Features of a passage.
 WIDTH = 3 + 2 * SHAPES + 5 + HASHED
 SEED = 17
-ROWS = 2_000
+#: Words whose features are gathered at once.
+GATHERED = 1 << 17
 
 
 def _byte_classes() -> np.ndarray:
@@ -102,7 +103,12 @@ def encode(texts: pa.Array, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndar
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     rows, n = at[starts], np.diff(np.concatenate([starts, [len(at)]])).astype(np.float32)
     hashes, table = _word_table(words)
-    sums = np.add.reduceat(table[index], starts, axis=0)
+    sums = np.empty((len(starts), table.shape[1]), np.float32)
+    done, stops = 0, np.concatenate([starts[1:], [len(index)]])
+    while done < len(starts):
+        to = max(done + 1, int(np.searchsorted(stops, starts[done] + GATHERED, side="right")))
+        sums[done:to] = np.add.reduceat(table[index[starts[done] : stops[to - 1]]], starts[done:to] - starts[done], axis=0)
+        done = to
     shapes = 2 + 2 * SHAPES
     own = hashes[index]
     again = [np.concatenate([np.zeros(k, bool), (own[k:] == own[:-k]) & (at[k:] == at[:-k])]).astype(np.float32) for k in (1, 2, 3)]
@@ -188,8 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
+            for part in common.slices(b, 0):
                 n, x = encode(part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n), pa.array([x[e - k : e].tobytes() for e, k in zip(np.cumsum(n), n, strict=True)], pa.binary())], names=["id", "y", "n", "x"])
 
@@ -208,8 +213,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
+            for part in common.slices(b, 2):
                 if model is None:
                     scores = np.full(part.num_rows, 0.5)
                 else:
@@ -236,8 +240,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
+            for part in common.slices(b, b.num_columns - 1):
                 n, x = encode(part.column(part.num_columns - 1))
                 good = pa.array(np.round(model.bags(x.astype(np.float64), n), 6) >= 0.5)
                 kept = part.filter(good)
