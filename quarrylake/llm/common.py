@@ -56,6 +56,16 @@ def light_enough(df: DataFrame, size: Column, max_bytes: int = BROADCAST_BYTES)
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
 
 
+def seeded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` rows of a *materialized* table, spread over all of it: those of
+    the least seeded hashes of ``key``. A first cut by the hash leaves little more
+    than that many rows to be sorted, whatever the table's size."""
+    total = max(df.count(), 1)
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    cut = int(min(1.0, (1.1 * rows + 100) / total) * (1 << 40))
+    return df.where(place <= cut).orderBy(place, key).limit(rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-blank characters; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANKS}]+")), F.lit(0)).cast("long")

@@ -160,8 +160,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     real = keyed.where("id is not null and node is not null")
     classes = common.materialize(real.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector")), "classes")
     total = classes.count()
-    # A bounded sample, even over the table: the least seeded hashes.
-    picked = [r["vector"] for r in classes.orderBy(F.xxhash64("node", F.lit(seed))).limit(sample).select("vector").collect()]
+    picked = [r["vector"] for r in common.seeded_sample(classes, "node", sample, seed).select("vector").collect()]
     lengths = [len(v) for v in picked]
     width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
     centres = fit_centroids(units([v for v in picked if len(v) == width]), min(MAX_CELLS, total // CELL + 1), seed) if picked else np.zeros((1, 1))

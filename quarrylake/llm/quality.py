@@ -189,7 +189,8 @@ def held_out(key: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> Model | None:
     """Learns from at most ``sample`` labelled documents; None without both labels."""
     clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
-    picked = common.materialize(clean.select("id", F.col("y").cast("double").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample), "labelled")
+    clean = common.materialize(clean.select("id", F.col("y").cast("double").alias("y")), "labels")
+    picked = common.materialize(common.seeded_sample(clean, "id", sample, seed), "labelled")
     own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "id")  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
