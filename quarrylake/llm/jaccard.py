@@ -5,14 +5,14 @@ one class. For a threshold t, two sets of similarity t or more share at least l
 tokens among the first n - ceil(t n) + l of each, whatever the global order. The
 filters of several orders are intersected before a pair is verified:
 
-1. order A, by hash, with l of a tenth of the set: a class survives only if as many of
-   its lead tokens occur in other classes as any partner would need;
+1. order A, by hash, with a large l: a class survives only if as many of its lead
+   tokens (all of them in a small set) occur in other classes as any partner would need;
 2. order R, rarest first among the lead tokens: pairs must share one of the few
    tokens that are left after l - 1 may be missed; this generates the candidates;
 3. order B, another permutation of the hashes: their plain prefixes must meet;
 4. what is left is verified on the whole sets.
 
-Scale: only a quarter of the tokens is shuffled, as (token, class) rows; counts are
+Scale: about a quarter of the tokens is shuffled, as (token, class) rows; counts are
 combined before the shuffle; texts never are. Candidates come through
 ``links.shared_key_components``, so a large group of near copies is held against
 leaders and not squared. Broadcasts are counted first.
@@ -24,6 +24,7 @@ id have no component. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -39,8 +40,9 @@ from . import common, links
 WORDS = 4
 #: Least similarity in hundredths.
 PERCENT = 85
-#: Lead tokens beyond the plain prefix: one in so many of the set.
-EXTRA = 10
+#: Lead tokens beyond the plain prefix: one in so many of the set, and lead tokens
+#: of any set at least (all of a smaller one).
+EXTRA, LEAD = 10, 128
 #: Odd numbers that mix word hashes and permute tokens (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -87,8 +89,23 @@ def needed(n: int, percent: int) -> int:
 
 
 def lead_length(n: int, percent: int) -> int:
-    """Lead tokens of a set of n: the prefix that shares ``1 + n // EXTRA``."""
-    return min(n, n - needed(n, percent) + 1 + n // EXTRA)
+    """Lead tokens of a set of n: the plain prefix and an allowance."""
+    return min(n, max(LEAD, n - needed(n, percent) + 1 + n // EXTRA))
+
+
+def allowance(n: int, percent: int) -> int:
+    """How many of its lead tokens a set of n shares with a partner of its size."""
+    return lead_length(n, percent) - (n - needed(n, percent))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def least_shared(n: int, percent: int) -> int:
+    """How many lead tokens a set of n shares with any partner: the least allowance of
+    the sizes that a partner can have. It is least at the ends of that range, or where
+    the lead's two rules meet."""
+    low, high = needed(n, percent), 100 * n // percent
+    meet = [m for m in range(LEAD - 2, LEAD * 5) if low <= m <= high and lead_length(m, percent) <= LEAD < lead_length(m + 1, percent)]
+    return min(allowance(m, percent) for m in {low, n, high, *meet, *(m + 1 for m in meet if m < high)})
 
 
 def _list(arrays: list[np.ndarray]) -> pa.Array:
@@ -102,16 +119,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """id, n (set size), node (128-bit digest of the set; null if empty) and the lead tokens."""
+    """id, n (set size), node (128-bit digest of the set; null if empty), the lead
+    tokens and how many of them any partner shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = list(shingle_sets(b.column(1), words))
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             leads = _list([s[: lead_length(len(s), percent)] for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), leads], names=["id", "n", "node", "lead"])
+            least = pa.array([least_shared(len(s), percent) if len(s) else 0 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), leads, least], names=["id", "n", "node", "lead", "least"])
 
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("least", T.LongType())])
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -130,17 +149,17 @@ def whole_sets(df: DataFrame, words: int, percent: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Postings (key, node, rank) after orders A and R, from (node, n, lead)."""
-    tokens = classes.select("node", "n", F.explode("lead").alias("key"))
+def candidates(classes: DataFrame) -> DataFrame:
+    """Postings (key, node, rank, size) after orders A and R, from (node, n, lead,
+    least). A class whose lead tokens are common ones ranks first: the text that others
+    are copies of leads."""
+    tokens = classes.select("node", "n", "least", F.size("lead").alias("all"), F.explode("lead").alias("key"))
     shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(shared, "key").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
-    partner = F.expr(f"({percent} * n + 99) div 100")
-    least = F.expr(f"1 + (({percent} * n + 99) div 100) div {EXTRA}")
-    lead = F.least(F.col("n"), F.col("n") - partner + 1 + F.expr(f"n div {EXTRA}"))
-    held = held.withColumn("least", least).where(F.size("own") >= F.col("least")).withColumn("alone", lead - F.size("own"))
+    held = tokens.join(shared, "key").groupBy("node", "n", "least", "all").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
+    held = held.where(F.size("own") >= F.col("least"))
+    rank = -F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.col("all")
     first = F.slice("own", 1, (F.size("own") - F.col("least") + 1).cast("int"))
-    return held.select("node", F.col("alone").alias("rank"), F.explode(first).alias("t")).select(F.col("t.key").alias("key"), "node", "rank")
+    return held.select("node", rank.alias("rank"), F.col("n").alias("size"), F.explode(first).alias("t")).select(F.col("t.key").alias("key"), "node", "rank", "size")
 
 
 def verifier(sets: DataFrame, percent: int):
@@ -161,15 +180,16 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     signed = common.materialize(signatures(df, key, text, words, percent), "signatures")
     real = signed.where("node is not null and id is not null")
     firsts = real.groupBy("node").agg(F.min("id").alias("first"))
-    classes = real.join(firsts, "node").where("id = first").select("node", "n", "lead", "first")
-    postings = common.materialize(candidates(classes, percent), "candidates")
+    classes = real.join(firsts, "node").where("id = first").select("node", "n", "lead", "least")
+    postings = common.materialize(candidates(classes), "candidates")
     postings = common.materialize(links.several(postings), "postings")
     wanted = postings.select("node").distinct().join(firsts, "node")
     wanted = common.small_enough(common.materialize(wanted, "wanted"))
     texts = df.select(F.col(key).alias("first"), F.col(text).cast("string").alias("t")).join(wanted, "first").select("node", "t")
     sets = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
     sets = common.light_enough(sets, 8 * (F.size("tokens") + F.size("other")))
-    groups = links.shared_key_components(postings, verifier(sets, percent))
+    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    groups = links.shared_key_components(postings, verifier(sets, percent), alike)
     least = groups.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     named = common.materialize(groups.join(least, "component").select("node", "least"), "groups")
     return (

@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Rounds of leaders before what is left is compared pair by pair.
 LEADER_ROUNDS = 6
+#: Leaders of a key in a round.
+LEADERS = 4
 #: Pairs per posting up to which the rest is compared at once.
-PAIRS_PER_POSTING = 24
+PAIRS_PER_POSTING = 2
 
 
 def _only_stars(e: DataFrame) -> bool:
@@ -55,16 +57,17 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
-    ``postings`` (key, node, rank; written before, each row once) and pass ``verify``
-    (pairs a, b in, links out).
+    ``postings`` (key, node, rank, size; written before, each row once), whose sizes
+    ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
 
     A pair within one component needs no check, so all members of a key are first
-    held against one leader, the least by rank; members that it did not draw in meet
-    another leader. Once few enough pairs remain they are all checked. Every pair
-    that shares a key ends up checked or within one component: no link is lost, and
-    a group of near copies costs about its size instead of its square.
+    held against a few leaders, the least by rank among the members of each salt;
+    members that they did not draw in meet other leaders. Once few enough pairs remain
+    they are all checked. Every pair that shares a key ends up checked or within one
+    component: no link is lost, and a group of near copies costs about its size
+    instead of its square.
     """
     labels = None
     for i in range(rounds + 1):
@@ -80,13 +83,17 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
                 break
             rest = named.join(common.small_enough(mixed.select("key")), "key")
             last = i == rounds or left["pairs"] <= PAIRS_PER_POSTING * left["m"]
+        rest = rest.select("key", "node", "rank", "size", "comp")
         if last:
-            one, other = (rest.select("key", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "xy")
-            pairs = _pairs(one.join(other, "key").where("x < y and comp_x <> comp_y"))
+            one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "comp"))) for n in "xy")
+            both = one.join(other, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fit(F.col("size_x"), F.col("size_y")))
+            pairs = _pairs(both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")))
         else:
             order = F.struct("rank", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "node")
-            heads = rest.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("head"))
-            pairs = _pairs(rest.join(heads, "key").where("comp <> head.comp").select(F.col("node").alias("x"), F.col("head.node").alias("y")))
+            salted = rest.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1 - i)), F.lit(LEADERS)))
+            heads = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("head")).select("key", "head")
+            both = rest.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fit(F.col("size"), F.col("head.size")))
+            pairs = _pairs(both.select(F.col("node").alias("x"), F.col("head.node").alias("y")))
         found = common.materialize(verify(pairs).select("a", "b"), "links")
         if labels is None or not found.isEmpty():
             before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]

@@ -373,7 +373,7 @@ def near_copies(seed=5, groups=12):
     common_line = [word() for _ in range(14)]
     out = []
     for g in range(groups):
-        base = [word() for _ in range(int(rng.integers(3, 260)))] + common_line * int(g % 3 == 0)
+        base = [word() for _ in range(int(rng.integers(3, 700 if g == 1 else 260)))] + common_line * int(g % 3 == 0)
         out.append(" ".join(base))
         for _ in range(int(rng.integers(1, 14))):
             copy = list(base)
@@ -406,12 +406,9 @@ def test_jaccard_components(spark, docs, odd, none):
 
 
 def test_prefix_lemma():
-    for n in range(1, 400):
-        least = jaccard.needed(n, 85)
-        assert jaccard.lead_length(n, 85) <= n
-        assert jaccard.lead_length(n, 85) == min(n, n - least + 1 + n // jaccard.EXTRA)
-        # No partner needs to share more lead tokens than the smallest one's allowance.
-        assert all(1 + m // jaccard.EXTRA >= 1 + least // jaccard.EXTRA for m in range(least, n + 1))
+    for n in range(1, 900):
+        assert 1 <= jaccard.allowance(n, 85) <= jaccard.lead_length(n, 85) <= n
+        assert jaccard.least_shared(n, 85) == min(jaccard.allowance(m, 85) for m in range(jaccard.needed(n, 85), 100 * n // 85 + 1))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -426,10 +423,10 @@ def test_components_of_chains_and_stars(spark):
 def test_shared_keys_lose_no_link(spark):
     rng = np.random.default_rng(7)
     linked = {(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.04}
-    postings = spark.createDataFrame([(k, n, 0) for n in range(40) for k in {int(x) for x in rng.integers(0, 3, 2)}], "key long, node long, rank int")
+    postings = spark.createDataFrame([(k, n, 0, 1) for n in range(40) for k in {int(x) for x in rng.integers(0, 3, 2)}], "key long, node long, rank int, size int")
     shared = {(a["node"], b["node"]) for a in postings.collect() for b in postings.collect() if a["key"] == b["key"] and a["node"] < b["node"]}
     table = spark.createDataFrame(sorted(linked), "a long, b long")
-    got = links.shared_key_components(postings, lambda pairs: pairs.join(table, ["a", "b"], "left_semi"), rounds=2)
+    got = links.shared_key_components(postings, lambda pairs: pairs.join(table, ["a", "b"], "left_semi"), lambda n, m: n == m, rounds=2)
     want = {n: c for n, c in grouped(linked & shared, range(40)).items()}
     found = {r["node"]: r["component"] for r in got.collect()}
     assert all(found.get(n, n) == want[n] for n in range(40))
