@@ -41,7 +41,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes *materialized* tables that nothing will read again."""
+    for t in tables:
+        if t is not None and hasattr(t, "_written_to"):
+            jvm = t.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(t._written_to)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

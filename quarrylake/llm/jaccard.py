@@ -181,17 +181,19 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     real = signed.where("node is not null and id is not null")
     firsts = real.groupBy("node").agg(F.min("id").alias("first"))
     classes = real.join(firsts, "node").where("id = first").select("node", "n", "lead", "least")
-    postings = common.materialize(candidates(classes), "candidates")
-    postings = common.materialize(links.several(postings), "postings")
+    first = common.materialize(candidates(classes), "candidates")
+    postings = common.materialize(links.several(first), "postings")
+    common.discard(first)
     wanted = postings.select("node").distinct().join(firsts, "node")
     wanted = common.small_enough(common.materialize(wanted, "wanted"))
     texts = df.select(F.col(key).alias("first"), F.col(text).cast("string").alias("t")).join(wanted, "first").select("node", "t")
-    sets = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
-    sets = common.light_enough(sets, 8 * (F.size("tokens") + F.size("other")))
+    written = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
+    sets = common.light_enough(written, 8 * (F.size("tokens") + F.size("other")))
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     groups = links.shared_key_components(postings, verifier(sets, percent), alike)
     least = groups.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     named = common.materialize(groups.join(least, "component").select("node", "least"), "groups")
+    common.discard(written, postings, groups)
     return (
         signed.select("id", "n", "node")
         .join(firsts, "node", "left")

@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = common.materialize(small, "edges")
+        before, e = e, common.materialize(small, "edges")
+        common.discard(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
@@ -72,7 +73,7 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     labels = None
     for i in range(rounds + 1):
         if labels is None:
-            rest, last = postings.withColumn("comp", F.col("node")), False
+            rest, last, mixed = postings.withColumn("comp", F.col("node")), False, None
         else:
             named = postings.join(common.small_enough(labels), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
             sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
@@ -95,9 +96,12 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             both = rest.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fit(F.col("size"), F.col("head.size")))
             pairs = _pairs(both.select(F.col("node").alias("x"), F.col("head.node").alias("y")))
         found = common.materialize(verify(pairs).select("a", "b"), "links")
+        common.discard(mixed)
         if labels is None or not found.isEmpty():
             before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-            labels = common.materialize(components(reduce(DataFrame.unionByName, [found, *before])), "labels")
+            labels, old = common.materialize(components(reduce(DataFrame.unionByName, [found, *before])), "labels"), labels
+            common.discard(old)
+        common.discard(found)
         if last:
             break
     return labels
