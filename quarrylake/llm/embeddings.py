@@ -181,3 +181,17 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     heads = common.materialize(heads.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id")), "heads")
     out = keyed.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(heads, "node", "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates_sql(table: str, key: str = "vec_id", vector: str = "embedding") -> str:
+    """The same for DuckDB, by comparing all pairs of usable vectors."""
+    return f"""
+with recursive v as (select {key} as id, {vector}::double[] as x from {table}),
+usable as (select id, x, sqrt(list_inner_product(x, x)) as norm from v
+           where len(x) > 0 and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and list_inner_product(x, x) > 0),
+near as (select a.id as a, b.id as b from usable a join usable b on a.id < b.id where list_inner_product(a.x, b.x) / (a.norm * b.norm) >= {THRESHOLD}),
+edges as (select a, b from near union all select b, a from near),
+reach as (select id, id as other from v union select r.id, e.b from reach r join edges e on r.other = e.a),
+least as (select id, min(other) as component_id from reach group by 1),
+counts as (select a as id, count(*) as n from edges group by 1)
+select l.id as {key}, coalesce(n, 0)::bigint as n_links, component_id, l.id = component_id as kept from least l left join counts c on c.id = l.id"""

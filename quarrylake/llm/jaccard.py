@@ -200,3 +200,19 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
         .join(common.small_enough(named), "node", "left")
         .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "first", "id")).alias("component_id"))
     )
+
+
+def group_sql(table: str, key: str = "doc_id", text: str = "text") -> str:
+    """The same for DuckDB, by comparing all sets that share a shingle."""
+    return f"""
+with recursive words as (
+    select {key}, regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {table}),
+sets as (
+    select {key}, list_distinct(case when len(w) >= {WORDS} then list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' '))
+                                     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+posts as (select {key} as id, len(s) as n, unnest(s) as s from sets),
+pairs as (select a.id as a, b.id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from posts a join posts b on a.s = b.s and a.id < b.id group by 1, 2),
+near as (select a, b from pairs where 100 * k >= {PERCENT} * (n + m - k)),
+edges as (select a, b from near union all select b, a from near),
+reach as (select {key} as id, {key} as other from sets union select r.id, e.b from reach r join edges e on r.other = e.a)
+select {key}, len(s)::bigint as n_shingles, least_id as component_id from sets join (select id, min(other) as least_id from reach group by 1) on id = {key}"""

@@ -77,4 +77,6 @@ QUERIES = {
 ORACLE = {
     "op1_url_filters": url_filter.judge_sql("pages"),
     "op3_license_scan": license_scan.scan_sql("documents"),
+    "op7_jaccard": jaccard.group_sql("documents"),
+    "op9_embeddings": embeddings.near_duplicates_sql("embeddings"),
 }

@@ -54,7 +54,7 @@ def test_against_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = con.sql(ORACLE[name])
     df = QUERIES[name](spark, data)
