@@ -42,7 +42,7 @@ WORDS = 4
 PERCENT = 85
 #: Lead tokens beyond the plain prefix: one in so many of the set, and lead tokens
 #: of any set at least (all of a smaller one).
-EXTRA, LEAD = 10, 128
+EXTRA, LEAD = 16, 112
 #: Odd numbers that mix word hashes and permute tokens (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -128,9 +128,9 @@ def signatures(df: DataFrame, key: str, text: str, words: int, percent: int) ->
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             leads = _list([s[: lead_length(len(s), percent)] for s in sets])
             least = pa.array([least_shared(len(s), percent) if len(s) else 0 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), leads, least], names=["id", "n", "node", "lead", "least"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), leads, pc.list_value_length(leads), least], names=["id", "n", "node", "lead", "leads", "least"])
 
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("least", T.LongType())])
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("leads", T.IntegerType()), T.StructField("least", T.LongType())])
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -150,14 +150,16 @@ def whole_sets(df: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Postings (key, node, rank, size) after orders A and R, from (node, n, lead,
-    least). A class whose lead tokens are common ones ranks first: the text that others
-    are copies of leads."""
-    tokens = classes.select("node", "n", "least", F.size("lead").alias("all"), F.explode("lead").alias("key"))
+    """Postings (key, node, rank, size) after orders A and R, from (place, node, n,
+    lead, leads, least). A class whose lead tokens are common ones ranks first: the
+    text that others are copies of leads. Only a token and its class's place, a small
+    number, are shuffled."""
+    tokens = classes.select("place", F.explode("lead").alias("key"))
     shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(shared, "key").groupBy("node", "n", "least", "all").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("own"))
-    held = held.where(F.size("own") >= F.col("least"))
-    rank = -F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.col("all")
+    own = tokens.join(shared, "key").groupBy("place").agg(F.collect_list(F.struct("df", "key")).alias("own"))
+    held = own.join(classes.select("place", "node", "n", "leads", "least"), "place").where(F.size("own") >= F.col("least"))
+    held = held.withColumn("own", F.sort_array("own"))
+    rank = -F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / F.col("leads")
     first = F.slice("own", 1, (F.size("own") - F.col("least") + 1).cast("int"))
     return held.select("node", rank.alias("rank"), F.col("n").alias("size"), F.explode(first).alias("t")).select(F.col("t.key").alias("key"), "node", "rank", "size")
 
@@ -177,26 +179,28 @@ def verifier(sets: DataFrame, percent: int):
 def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The operator: key, n_shingles and component_id (least key of those reachable
     by links; the row's own if it links with nothing)."""
-    signed = common.materialize(signatures(df, key, text, words, percent), "signatures")
+    signed = signatures(df, key, text, words, percent).withColumn("place", F.monotonically_increasing_id())
+    signed = common.materialize(signed, "signatures")  # places are fixed from here on
     real = signed.where("node is not null and id is not null")
-    firsts = real.groupBy("node").agg(F.min("id").alias("first"))
-    classes = real.join(firsts, "node").where("id = first").select("node", "n", "lead", "least")
+    firsts = common.materialize(real.groupBy("node").agg(F.min("id").alias("first"), F.min("place").alias("place")), "firsts")
+    firsts_side = common.small_enough(firsts)
+    classes = signed.drop("id").join(firsts_side.select("place"), "place")
     first = common.materialize(candidates(classes), "candidates")
     postings = common.materialize(links.several(first), "postings")
     common.discard(first)
-    wanted = postings.select("node").distinct().join(firsts, "node")
+    wanted = postings.select("node").distinct().join(firsts_side.select("node", "first"), "node")
     wanted = common.small_enough(common.materialize(wanted, "wanted"))
     texts = df.select(F.col(key).alias("first"), F.col(text).cast("string").alias("t")).join(wanted, "first").select("node", "t")
     written = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
     sets = common.light_enough(written, 8 * (F.size("tokens") + F.size("other")))
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     groups = links.shared_key_components(postings, verifier(sets, percent), alike)
-    least = groups.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
+    least = groups.join(firsts.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     named = common.materialize(groups.join(least, "component").select("node", "least"), "groups")
     common.discard(written, postings, groups)
     return (
         signed.select("id", "n", "node")
-        .join(firsts, "node", "left")
+        .join(firsts_side.select("node", "first"), "node", "left")
         .join(common.small_enough(named), "node", "left")
         .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "first", "id")).alias("component_id"))
     )
