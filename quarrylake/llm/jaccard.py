@@ -100,12 +100,13 @@ def allowance(n: int, percent: int) -> int:
 
 @functools.lru_cache(maxsize=1 << 16)
 def least_shared(n: int, percent: int) -> int:
-    """How many lead tokens a set of n shares with any partner: the least allowance of
-    the sizes that a partner can have. It is least at the ends of that range, or where
-    the lead's two rules meet."""
-    low, high = needed(n, percent), 100 * n // percent
-    meet = [m for m in range(LEAD - 2, LEAD * 5) if low <= m <= high and lead_length(m, percent) <= LEAD < lead_length(m + 1, percent)]
-    return min(allowance(m, percent) for m in {low, n, high, *meet, *(m + 1 for m in meet if m < high)})
+    """How many lead tokens a set of n shares with any partner. With a smaller partner
+    the overlap is what the set itself needs, so its own allowance bounds it; with a
+    larger one the partner's allowance does. That is least at the ends of the range of
+    sizes, or where the lead's two rules meet."""
+    high = 100 * n // percent
+    meet = [m for m in range(max(n, LEAD - 2), min(high, LEAD * 8)) if lead_length(m, percent) <= LEAD < lead_length(m + 1, percent)]
+    return min(allowance(m, percent) for m in {n, high, *meet, *(m + 1 for m in meet)})
 
 
 def _list(arrays: list[np.ndarray]) -> pa.Array:

@@ -408,7 +408,24 @@ def test_jaccard_components(spark, docs, odd, none):
 def test_prefix_lemma():
     for n in range(1, 900):
         assert 1 <= jaccard.allowance(n, 85) <= jaccard.lead_length(n, 85) <= n
-        assert jaccard.least_shared(n, 85) == min(jaccard.allowance(m, 85) for m in range(jaccard.needed(n, 85), 100 * n // 85 + 1))
+        assert jaccard.least_shared(n, 85) == min(jaccard.allowance(m, 85) for m in range(n, 100 * n // 85 + 1))
+
+
+def test_linked_sets_share_the_lead_tokens_that_are_asked_for():
+    rng = np.random.default_rng(13)
+    linked = 0
+    for _ in range(6000):
+        n = int(rng.integers(1, 900))
+        x = rng.choice(1 << 40, n, replace=False)
+        # Drop some tokens, add others: pairs on both sides of the threshold.
+        y = np.concatenate([x[rng.permutation(n)[: n - int(rng.integers(0, n // 6 + 2))]], rng.integers(1 << 41, 1 << 42, int(rng.integers(0, n // 8 + 2)))])
+        a, b = np.unique(x), np.unique(y)
+        same = len(np.intersect1d(a, b))
+        if len(b) and 100 * same >= 85 * (len(a) + len(b) - same):
+            linked += 1
+            shared = len(np.intersect1d(a[: jaccard.lead_length(len(a), 85)], b[: jaccard.lead_length(len(b), 85)]))
+            assert shared >= max(jaccard.least_shared(len(a), 85), jaccard.least_shared(len(b), 85))
+    assert linked > 1000
 
 
 def test_components_of_chains_and_stars(spark):
