@@ -9,8 +9,9 @@ filters of several orders are intersected before a pair is verified:
    tokens (all of them in a small set) occur in other classes as any partner would need;
 2. order R, rarest first among the lead tokens: pairs must share one of the few
    tokens that are left after l - 1 may be missed; this generates the candidates;
-3. order B, another permutation of the hashes: their plain prefixes must meet;
-4. what is left is verified on the whole sets.
+3. pairs that no leader settles must differ in few enough bits of their parities;
+4. order B, another permutation of the hashes: their plain prefixes must meet;
+5. what is left is verified on the whole sets.
 
 Scale: about a quarter of the tokens is shuffled, as (token, class) rows; counts are
 combined before the shuffle; texts never are. Candidates come through
@@ -43,6 +44,8 @@ PERCENT = 85
 #: Lead tokens beyond the plain prefix: one in so many of the set, and lead tokens
 #: of any set at least (all of a smaller one).
 EXTRA, LEAD = 16, 112
+#: Bits of a set's parities.
+PARITY_BITS = 512
 #: Odd numbers that mix word hashes and permute tokens (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -135,18 +138,37 @@ def signatures(df: DataFrame, key: str, text: str, words: int, percent: int) ->
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each the parity of the number of tokens that fall on it. Where
+    two sets' bits differ, they differ in a token: the bits that differ are at most as
+    many as the tokens that only one of the sets has."""
+    odd = np.bincount((mixed(tokens.view(np.uint64)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def parity_condition(percent: int):
+    """What the parities (x, y) and sizes (n, m) of linked sets meet: they share at
+    least percent / (100 + percent) of n + m tokens."""
+
+    def near(x, y, n, m):
+        apart = sum(F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITY_BITS // 64))
+        return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
+
+    return near
+
+
 def whole_sets(df: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, n, tokens and the prefix under order B, from (node, text)."""
+    """node, n, tokens, the prefix under order B and the parities, from (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = list(shingle_sets(b.column(1), words))
             nodes = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
             other = [np.sort(mixed(s.view(np.uint64) ^ MIX[0]).view(np.int64))[: len(s) - needed(len(s), percent) + 1] for s in sets]
-            part = pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in sets], pa.int64()), _list(sets), _list(other)], names=["node", "n", "tokens", "other"])
+            part = pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in sets], pa.int64()), _list(sets), _list(other), _list([parities(s) for s in sets])], names=["node", "n", "tokens", "other", "bits"])
             yield part.filter(pc.equal(nodes, b.column(0).cast(pa.binary())))  # an id may repeat with another text
 
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("other", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("other", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     return df.mapInArrow(run, schema)
 
 
@@ -195,7 +217,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     written = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
     sets = common.light_enough(written, 8 * (F.size("tokens") + F.size("other")))
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    groups = links.shared_key_components(postings, verifier(sets, percent), alike)
+    groups = links.shared_key_components(postings, verifier(sets, percent), alike, sketch=(written.select("node", "bits"), parity_condition(percent)))
     least = groups.join(firsts.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     named = common.materialize(groups.join(least, "component").select("node", "least"), "groups")
     common.discard(written, postings, groups)

@@ -58,7 +58,7 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes
     ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
@@ -69,6 +69,9 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     they are all checked. Every pair that shares a key ends up checked or within one
     component: no link is lost, and a group of near copies costs about its size
     instead of its square.
+
+    ``sketch`` has a table (node, bits) and a condition on two nodes' bits and sizes that
+    every link meets; it thins out the pairs of the last step inside their join.
     """
     labels = None
     for i in range(rounds + 1):
@@ -86,8 +89,12 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             last = i == rounds or left["pairs"] <= PAIRS_PER_POSTING * left["m"]
         rest = rest.select("key", "node", "rank", "size", "comp")
         if last:
-            one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "comp"))) for n in "xy")
-            both = one.join(other, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fit(F.col("size_x"), F.col("size_y")))
+            rest = rest.join(common.small_enough(sketch[0]), "node") if sketch else rest.withColumn("bits", F.lit(None))
+            one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "comp", "bits"))) for n in "xy")
+            alike = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fit(F.col("size_x"), F.col("size_y"))
+            if sketch:
+                alike = alike & sketch[1](*(F.col(c) for c in ("bits_x", "bits_y", "size_x", "size_y")))
+            both = one.join(other, (one["key"] == other["key"]) & alike)
             pairs = _pairs(both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")))
         else:
             order = F.struct("rank", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "node")

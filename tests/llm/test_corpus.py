@@ -423,6 +423,8 @@ def test_linked_sets_share_the_lead_tokens_that_are_asked_for():
         same = len(np.intersect1d(a, b))
         if len(b) and 100 * same >= 85 * (len(a) + len(b) - same):
             linked += 1
+            apart = sum(int(v).bit_count() for v in (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64))
+            assert apart <= len(a) + len(b) - 2 * same and 185 * (len(a) + len(b) - apart) >= 170 * (len(a) + len(b))
             shared = len(np.intersect1d(a[: jaccard.lead_length(len(a), 85)], b[: jaccard.lead_length(len(b), 85)]))
             assert shared >= max(jaccard.least_shared(len(a), 85), jaccard.least_shared(len(b), 85))
     assert linked > 1000
