@@ -546,7 +546,7 @@ def test_edit_similarity_against_dynamic_programming():
 
 def line_truth(rows):
     """Dropped (id, number) pairs by comparing all lines that share a block."""
-    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if len(w := line_dedup.normal_words(line)) >= 5]
+    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if len(w := line_dedup.normal_words(line.encode())) >= 5]
     words = sorted({w for *_, w in own})
     keys = {}
     for w in words:
