@@ -58,7 +58,7 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes
     ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
@@ -71,7 +71,8 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     instead of its square.
 
     ``sketch`` has a table (node, bits) and a condition on two nodes' bits and sizes that
-    every link meets; it thins out the pairs of the last step inside their join.
+    every link meets; it thins out the pairs of the last step inside their join. Where
+    ``fit`` does so itself, ``per_posting`` may leave more of them to that step.
     """
     labels = None
     for i in range(rounds + 1):
@@ -86,7 +87,7 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             if not left["pairs"]:
                 break
             rest = named.join(common.small_enough(mixed.select("key")), "key")
-            last = i == rounds or left["pairs"] <= PAIRS_PER_POSTING * left["m"]
+            last = i == rounds or left["pairs"] <= per_posting * left["m"]
         rest = rest.select("key", "node", "rank", "size", "comp")
         if last:
             rest = rest.join(common.small_enough(sketch[0]), "node") if sketch else rest.withColumn("bits", F.lit(None))

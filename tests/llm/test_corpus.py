@@ -593,6 +593,38 @@ def test_pigeonhole():
         assert set(line_dedup.block_keys(sums)[0]) & set(line_dedup.block_keys(other)[0])
 
 
+def exact_line_truth(rows):
+    """Dropped (id, number) pairs by comparing all pairs of lines by their words alone."""
+    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if len(w := line_dedup.normal_words(line.encode())) >= 5]
+    words = sorted({w for *_, w in own})
+    long = [w for w in words if len(w) >= 5]
+    pairs = [(a, b) for a in long for b in long if a < b and line_dedup.edit_similar(list(a), list(b), 0.8)]
+    group = grouped(pairs, words)
+    first = {}
+    for i, no, w in sorted(own):
+        first.setdefault(group[w], (i, no))
+    return {(i, no) for i, no, w in own if first[group[w]] != (i, no)}
+
+
+def test_line_dedup_misses_no_link(spark, docs, odd):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, number = [], 0
+    for n in (5, 6, 10, 20, 33, 100):
+        for _ in range(6):
+            base = list(rng.choice(vocabulary, n))
+            near = list(base)
+            for at in rng.choice(n, n // 10, replace=False):
+                near[at] = "changed"
+            rows += [(number, " ".join(base)), (number + 1, " ".join(near[: n - n // 20]))]
+            number += 2
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (made, docs.limit(120).select("doc_id", "text"), odd):
+        own = [(r["doc_id"], r["text"]) for r in df.collect()]
+        gone = {(r["id"], n) for r in line_dedup.dropped_lines(df).collect() for n in r["numbers"]}
+        assert gone == exact_line_truth(own)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 
