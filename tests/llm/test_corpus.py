@@ -595,7 +595,7 @@ def test_pigeonhole():
 
 def exact_line_truth(rows):
     """Dropped (id, number) pairs by comparing all pairs of lines by their words alone."""
-    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if len(w := line_dedup.normal_words(line.encode())) >= 5]
+    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if (w := line_dedup.normal_words(line.encode()))]
     words = sorted({w for *_, w in own})
     long = [w for w in words if len(w) >= 5]
     pairs = [(a, b) for a in long for b in long if a < b and line_dedup.edit_similar(list(a), list(b), 0.8)]
@@ -625,6 +625,12 @@ def test_line_dedup_misses_no_link(spark, docs, odd):
         assert gone == exact_line_truth(own)
 
 
+def test_line_dedup_drops_short_copies(spark):
+    rows = [(1, "All rights reserved.\n\nMenu\none two three four"), (2, "all RIGHTS  reserved.\n\nmenu\none two three five"), (3, "\n \nMenu items")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\none two three five", 2), 3: (rows[2][1], 0)}
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 
