@@ -6,6 +6,9 @@ sentences. The identifiers found, in text order, make a sequence; the licence ru
 in their own order, are regular expressions over it. The first rule that fits names
 the document's licence; all that fit are listed.
 
+A line break inside a known sentence does not end it, whatever stands after the break:
+capitals, brackets, comment marks. Other line breaks do, but before a-z.
+
 Only texts that hold one of a few anchor words are cut up; every known sentence has
 an anchor (a test holds that), so no sentence is missed. Nothing is shuffled or
 broadcast: sentences and rules are literals of the plan, Catalyst keeps one pass.
@@ -48,6 +51,11 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "all-rights": ("All rights reserved",),
 }
 
+#: Published sentences of which SENTENCES has the start only (fixed values).
+PUBLISHED: dict[str, tuple[str, ...]] = {
+    "mit-grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",),
+}
+
 #: Licences in the order in which their sequences are tried: each sequence names the
 #: sentences that must follow one another, others may stand between (fixed values).
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -91,6 +99,24 @@ def known(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
     return out
 
 
+def inner_break() -> str:
+    """What matches a line break, with the comment marks after it, between two words that
+    stand side by side in a known sentence. A word that starts a known sentence counts
+    only as it is written inside one, so that no sentence is drawn to the line before."""
+    written = [re.findall("[A-Za-z0-9]+", v) for d in (SENTENCES, PUBLISHED) for variants in d.values() for v in variants]
+    cut = [k.split() for d in (SENTENCES, PUBLISHED) for k in known(d)]
+    inside, starts = {w for words in written for w in words[1:]}, {words[0] for words in cut}
+    before: dict[str, set[str]] = {}
+    for words in cut:
+        for one, two in zip(words, words[1:]):
+            before.setdefault(two, set()).add(one)
+    ways = []
+    for two, ones in sorted(before.items()):
+        form = f"(?-i:{'|'.join(sorted(w for w in inside if w.lower() == two))})" if two in starts else two
+        ways.append(rf"(?<=\b(?:{'|'.join(sorted(ones))})[^A-Za-z0-9\r\n]{{0,4}}[\r\n]{{1,2}})[^A-Za-z0-9\r\n]{{0,12}}(?={form}\b)")
+    return rf"(?i)(?:\r\n?|\n)(?:{'|'.join(ways)})"
+
+
 def rule_pattern(sequence: tuple[str, ...]) -> str:
     """A regular expression over ``,id,id,`` that lets other ids stand between."""
     return ",(.*,)?".join(re.escape(s).replace(r"\-", "-") for s in sequence).join((",", ","))
@@ -98,8 +124,9 @@ def rule_pattern(sequence: tuple[str, ...]) -> str:
 
 def sequence_of(text: Column, sentences: dict[str, tuple[str, ...]] = SENTENCES, anchors: tuple[str, ...] = ANCHORS) -> Column:
     """The known sentences' identifiers in text order."""
-    ids = F.create_map(*(F.lit(x) for pair in known(sentences).items() for x in pair))
-    flat = F.regexp_replace(text, WRAP, " $1")
+    lookup = known(sentences) | (known(PUBLISHED) if sentences is SENTENCES else {})
+    ids = F.create_map(*(F.lit(x) for pair in lookup.items() for x in pair))
+    flat = F.regexp_replace(F.regexp_replace(text, inner_break(), " "), WRAP, " $1")
     cut = F.split(F.regexp_replace(flat, END, "\n"), "\n")
     found = F.transform(cut, lambda s: ids[F.trim(F.regexp_replace(common.ascii_lower(s), "[^a-z0-9]+", " "))])
     anchored = text.rlike("(?i)" + "|".join(anchors))
@@ -124,7 +151,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def scan_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """The same for DuckDB."""
+    """The same for DuckDB, but for PUBLISHED sentences and breaks that only
+    ``inner_break`` joins (RE2 cannot look around)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     ids = known()
     rules = ", ".join(f"{{'name': {quote(n)}, 'pattern': {quote(rule_pattern(s))}}}" for n, s in RULES)

@@ -207,6 +207,57 @@ def test_licences(spark, odd, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_whole_wrapped_licence_texts(spark):
+    want = [("Apache-2.0", APACHE, "apache2-grant,apache2-use,apache2-copy,apache2-asis"), ("MIT", MIT, "mit-grant,mit-notice"), ("GPL-3.0-or-later", GPL, "gpl-free,gpl-nowarranty,gpl-nowarranty")]
+    marked = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: marked(t, "#"), lambda t: marked(t, " *"), lambda t: marked(t, "//").replace("\n", "\r\n")]
+    rows = [(i * 10 + j, f(t)) for i, (_, t, _) in enumerate(want) for j, f in enumerate(forms)]
+    rows += [(90, "Our work is\nLicensed under CC BY 4.0.\nNot more\nAll rights reserved"), (91, "* some words\n* licensed under CC0 1.0")]
+    got = {r["doc_id"]: (r["licence"], r["sentence_ids"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (licence, _, ids) in enumerate(want):
+        for j in range(len(forms)):
+            assert got[i * 10 + j] == (licence, ids), (licence, j)
+    assert got[90] == ("CC-BY-4.0", "cc-by,all-rights") and got[91] == ("CC0-1.0", "cc0")
+
+
 # --- media ------------------------------------------------------------------------------
 
 
