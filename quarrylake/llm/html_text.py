@@ -37,6 +37,9 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 VOID_TAGS = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Elements whose content is no text of the page (fixed values).
 RAW_TAGS = frozenset("script style template noscript iframe object svg math textarea select title noembed noframes canvas audio video".split())
+#: Those of them whose content no parser reads as elements: without an end tag they
+#: reach to the end of the page; of others only the tag is skipped (fixed values).
+TEXT_ONLY_TAGS = frozenset("script style textarea title iframe noembed noframes".split())
 #: Elements that end at the start of the ones named (fixed values).
 ENDED_BY: dict[str, frozenset[str]] = {
     "p": BLOCK_TAGS - frozenset("body head html caption tbody td tfoot th thead tr option optgroup legend title".split()),
@@ -51,6 +54,7 @@ ENDED_BY: dict[str, frozenset[str]] = {
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -72,12 +76,23 @@ class _Open:
     raw: bool = False
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element: by name, not by a word in a value."""
+    if not HIDDEN.search(attributes):
+        return False
+    own = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        own.setdefault(name.lower(), "".join(values).strip().lower())
+    return "hidden" in own or own.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", own.get("style", "")))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, without scripts, styles and the like."""
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
     linked: list[str] = []
+    endless: set[str] = set()
 
     def cut() -> None:
         if parts:
@@ -113,8 +128,13 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in BLOCK_TAGS:
                 cut()
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TEXT_ONLY_TAGS:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             parts.append(" ") if parts else None
             continue
         if tag in BLOCK_TAGS:
@@ -130,7 +150,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         names = frozenset(WORD.findall(" ".join(a or b or c for a, b, c in NAMED.findall(m[3])).lower())) if "=" in m[3] else frozenset()
-        stack.append(_Open(tag, names, bool(m[3]) and bool(HIDDEN.search(m[3]))))
+        stack.append(_Open(tag, names, bool(m[3]) and is_hidden(m[3])))
     take(page[at:])
     cut()
     return out

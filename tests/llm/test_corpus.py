@@ -380,6 +380,18 @@ def test_extraction_of_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_tags_and_words_that_hide_nothing():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    for tag in "select object video audio canvas svg math template noscript".split():
+        assert text(f"<p>one</p><{tag} id=x><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"], tag
+        assert text(f"<p>one</p><{tag}>x</{tag}><p>two</p>") == ["one", "two"], tag
+    assert text("<p>one</p><script>two<p>three</p>") == ["one"]
+    for kept in ('title="The hidden gems of Rome"', 'class="note hidden md:block"', "data-x='a hidden b'", 'title="display: none"', 'aria-hidden="false"'):
+        assert text(f"<p {kept}>one</p>") == ["one"], kept
+    for gone in ("hidden", 'class="a" hidden', "hidden=until-found", 'aria-hidden="true"', "aria-hidden=true", 'style="color: red; display : none"'):
+        assert text(f"<p {gone}>one</p><p>two</p>") == ["two"], gone
+
+
 def test_viterbi_and_marginals_against_enumeration():
     import itertools
 
