@@ -115,8 +115,16 @@ def _bmp(b: memoryview, at: int) -> int:
 
 def _pdf(b: memoryview, at: int) -> int:
     raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    return at + end + 5 if end >= 0 and b"startxref" in raw[:end] else -1
+    further = raw.find(b"%PDF-", 5)
+    end = raw.rfind(b"%%EOF", 0, further) if further >= 0 else raw.rfind(b"%%EOF")
+    if end < 0:  # the further header may lie in an attachment
+        end = raw.find(b"%%EOF")
+    if end < 0 or b"startxref" not in raw[:end]:
+        return -1
+    end += 5
+    while end < len(raw) and raw[end] in b" \t\r\n":
+        end += 1
+    return at + end
 
 
 #: Magic bytes, media type and validator of each format (fixed values).
@@ -124,6 +132,8 @@ FORMATS: tuple[tuple[bytes, str, Callable[[memoryview, int], int]], ...] = (
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"RIFF", "audio/wav", _riff(b"WAVE", b"data")),
     (b"RIFF", "image/webp", _riff(b"WEBP", b"VP8 ")),
+    (b"RIFF", "image/webp", _riff(b"WEBP", b"VP8L")),
+    (b"RIFF", "image/webp", _riff(b"WEBP", b"VP8X")),
     (b"RIFF", "video/avi", _riff(b"AVI ", b"movi")),
     (b"GIF8", "image/gif", _gif),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),

@@ -293,6 +293,17 @@ def test_sniffer_finds_corrects_and_carves(spark):
     assert [x[0] for x in got[6]] == ["application/pdf", "image/png"]
 
 
+def test_updated_documents_and_lossless_pictures_are_whole():
+    updated = PDF + b"\n1 0 obj\nstartxref\n9\n%%EOF\r\n"
+    webp = {kind: b"RIFF" + (16).to_bytes(4, "little") + b"WEBP" + kind + (4).to_bytes(4, "little") + b"abcd" for kind in (b"VP8 ", b"VP8L", b"VP8X")}
+    own = media.automaton()
+    spans = lambda blob: [(x.kind, x.start, x.end) for x in media.find_media(blob, own)]
+    assert spans(updated) == [("application/pdf", 0, len(updated))]
+    assert spans(updated + updated) == [("application/pdf", 0, len(updated)), ("application/pdf", len(updated), 2 * len(updated))]
+    for blob in webp.values():
+        assert spans(blob) == [("image/webp", 0, len(blob))]
+
+
 def test_media_round_trip(spark, docs, odd, none):
     for df in (docs, odd):
         want = collections.Counter()
