@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 #: White space that separates words everywhere in this subpackage (ASCII only).
 BLANKS = r"\x20\x09-\x0D"
 
-#: Rows up to which a written side may be broadcast; wider rows get a smaller bound.
-BROADCAST_ROWS = 500_000
-#: Bytes up to which a written side of wide rows may be broadcast.
+#: Bytes up to which a written side may be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of an Arrow batch that a Python worker gets, where the session says nothing.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,16 +55,36 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a *materialized* side for broadcast only when its counted rows are
-    within ``max_rows``; beyond that the planner is left to shuffle."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row in memory, from what its columns hold."""
 
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.StructType):
+            return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+                return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + width(x, kind.elementType)), F.lit(16))
+            each = 16 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+            return F.greatest(F.size(c), F.lit(0)) * each + 16
+        return F.lit(8)
 
-def light_enough(df: DataFrame, size: Column, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a *materialized* side for broadcast only when its rows' summed ``size``
-    is within ``max_bytes``."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
+    return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
+
+
+def small_enough(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a *materialized* side for broadcast only when its rows' counted bytes are
+    within ``max_bytes``; beyond that the planner is left to shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= max_bytes else df
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for whole texts; a session that sets a bound of
+    its own keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, f"{64 << 20}b"):  # unset, or this Spark's default
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def seeded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:

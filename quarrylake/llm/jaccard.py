@@ -215,7 +215,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     wanted = common.small_enough(common.materialize(wanted, "wanted"))
     texts = df.select(F.col(key).alias("first"), F.col(text).cast("string").alias("t")).join(wanted, "first").select("node", "t")
     written = common.materialize(whole_sets(texts, words, percent).dropDuplicates(["node"]), "sets")
-    sets = common.light_enough(written, 8 * (F.size("tokens") + F.size("other")))
+    sets = common.small_enough(written.drop("bits"))
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     groups = links.shared_key_components(postings, verifier(sets, percent), alike, sketch=(written.select("node", "bits"), parity_condition(percent)))
     least = groups.join(firsts.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))

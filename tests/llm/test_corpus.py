@@ -619,14 +619,11 @@ def test_edit_similarity_against_dynamic_programming():
 
 
 def line_truth(rows):
-    """Dropped (id, number) pairs by comparing all lines that share a block."""
-    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if len(w := line_dedup.normal_words(line.encode())) >= 5]
+    """Dropped (id, number) pairs by comparing all pairs of lines by their words alone."""
+    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if (w := line_dedup.normal_words(line.encode()))]
     words = sorted({w for *_, w in own})
-    keys = {}
-    for w in words:
-        bits = line_dedup.simhash_bits(list(dict.fromkeys(w))).astype(int).sum(axis=0)
-        keys[w] = set(line_dedup.block_keys(bits[None, :])[0].tolist())
-    pairs = [(a, b) for a in words for b in words if a < b and keys[a] & keys[b] and line_dedup.edit_similar(list(a), list(b), 0.8)]
+    long = [w for w in words if len(w) >= 5]
+    pairs = [(a, b) for a in long for b in long if a < b and line_dedup.edit_similar(list(a), list(b), 0.8)]
     group = grouped(pairs, words)
     first = {}
     for i, no, w in sorted(own):
@@ -658,26 +655,62 @@ def test_line_dedup(spark, docs, odd, none):
     assert line_dedup.dedup(none).count() == 0
 
 
-def test_pigeonhole():
+@pytest.mark.parametrize("changed", ["words", "cut", "both"])
+def test_recall_of_blocks_at_the_limit(changed):
+    """Pairs of lines as unlike as may be: shares of them that share a key, by edit
+    similarity alone. Short lines miss none."""
     rng = np.random.default_rng(12)
-    sums = rng.choice([-1, 1], (1, 128))
-    for _ in range(50):
-        other = sums.copy()
-        other[0, rng.choice(128, line_dedup.BLOCKS - 1, replace=False)] *= -1
-        assert set(line_dedup.block_keys(sums)[0]) & set(line_dedup.block_keys(other)[0])
-
-
-def exact_line_truth(rows):
-    """Dropped (id, number) pairs by comparing all pairs of lines by their words alone."""
-    own = [(i, no, tuple(w)) for i, t in rows if i is not None and t for no, line in enumerate(t.split("\n")) if (w := line_dedup.normal_words(line.encode()))]
-    words = sorted({w for *_, w in own})
-    long = [w for w in words if len(w) >= 5]
-    pairs = [(a, b) for a in long for b in long if a < b and line_dedup.edit_similar(list(a), list(b), 0.8)]
-    group = grouped(pairs, words)
-    first = {}
-    for i, no, w in sorted(own):
-        first.setdefault(group[w], (i, no))
-    return {(i, no) for i, no, w in own if first[group[w]] != (i, no)}
+    vocabulary = [b"w%d" % i for i in range(20_000)]
+    for n in (5, 6, 7, 10, 15, 16, 20, 23, 24, 40, 48, 60, 95, 100, 192):
+        lines = []
+        for _ in range(150):
+            line = [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
+            near = list(line)
+            for at in rng.choice(n, {"words": n // 5, "cut": 0, "both": n // 10}[changed], replace=False):
+                near[at] = vocabulary[int(rng.integers(len(vocabulary)))]
+            while changed != "words" and line_dedup.edit_similar(line, shorter := [w for i, w in enumerate(near) if i != rng.integers(len(near))], 0.8):
+                near = shorter
+            assert line_dedup.edit_similar(line, near, 0.8)
+            lines += [line, near]
+        _, _, sizes, index, words = line_dedup.line_words([b" ".join(x) for x in lines])
+        assert sizes.tolist() == [len(x) for x in lines] and [words[i] for i in index] == [w for x in lines for w in x]
+        one, two = line_dedup.word_hashes(words)
+        at, found = line_dedup.candidate_keys(sizes, index, one, two, np.ones(len(words)), 5, 0.8)
+        keys = collections.defaultdict(set)
+        for i, k in zip(at.tolist(), found.tolist(), strict=True):
+            keys[i].add(k)
+        pairs = [i for i in range(0, len(lines), 2) if len(lines[i + 1]) >= 5]
+        share = np.mean([bool(keys[i] & keys[i + 1]) for i in pairs])
+        assert share == 1 if n < line_dedup.PAIRED else share > 0.9, (n, share)
+
+
+def test_words_disturb_one_block_each():
+    """Blocks of lines that differ in D words: all but 2 D keep their bits."""
+    rng = np.random.default_rng(13)
+    line = [b"w%d" % i for i in rng.integers(0, 9_999, 60)]
+    other = [b"new%d" % i if i in (3, 30, 31) else w for i, w in enumerate(line)]
+    _, _, sizes, index, words = line_dedup.line_words([b" ".join(line), b" ".join(other)])
+    one, two = line_dedup.word_hashes(words)
+    votes, at = line_dedup.vote_table(one), np.repeat([0, 1], sizes)
+    where, keys = line_dedup.block_keys(at, np.full(len(at), 5), index, two, votes, np.ones(len(words)), posted=99)
+    a, b = set(keys[where == 0].tolist()), set(keys[where == 1].tolist())
+    assert len(a - b) <= 6 and len(b - a) <= 6 and len(a & b) >= 16
+    many = np.repeat([0, 1, 2], [300, 2, 1])  # more votes than a byte counts
+    bits = line_dedup.simhash(votes, many, np.array([0, 303 - 3]), np.array([300, 3]))
+    plain = [sum(int(v) for v in ((votes[i // 8][w] >> np.uint64(8 * (i % 8))) & np.uint64(1) for w in many[:300])) for i in range(48)]
+    assert int(bits[0]) == sum((2 * n > 300) << i for i, n in enumerate(plain))
+
+
+def test_line_words_and_pieces():
+    texts = [b"", b" \n", b"One  two\tONE\n\n\x0bthree\r\n", b"\n\nx", b"a\x00b \xc3\x89"]
+    owner, number, sizes, index, words = line_dedup.line_words(texts)
+    assert (owner.tolist(), number.tolist(), sizes.tolist()) == ([2, 2, 3, 4], [0, 2, 2, 0], [3, 1, 1, 2])
+    assert [words[i] for i in index] == [b"one", b"two", b"one", b"three", b"x", b"a\x00b", b"\xc3\x89"]
+    long = "\n".join("line %d" % i for i in range(500)) + "\n"
+    for limit in (1, 7, 64, 1 << 20):
+        found = [(i, n + k, line) for group in line_dedup.pieces(pa.array([long, None, "", "x\n", "\n\n"]), limit) for i, n, t in group for k, line in enumerate(t.split(b"\n"))]
+        want = [(i, k, line.encode()) for i, t in ((0, long), (3, "x\n"), (4, "\n\n")) for k, line in enumerate(t.split("\n"))]
+        assert [x for x in found if x[2]] == [x for x in want if x[2]]
 
 
 def test_line_dedup_misses_no_link(spark, docs, odd):
@@ -696,7 +729,7 @@ def test_line_dedup_misses_no_link(spark, docs, odd):
     for df in (made, docs.limit(120).select("doc_id", "text"), odd):
         own = [(r["doc_id"], r["text"]) for r in df.collect()]
         gone = {(r["id"], n) for r in line_dedup.dropped_lines(df).collect() for n in r["numbers"]}
-        assert gone == exact_line_truth(own)
+        assert gone == line_truth(own)
 
 
 def test_line_dedup_drops_short_copies(spark):
