@@ -7,8 +7,9 @@ in a recursive CTE until no pair is left. Decoding joins ids with the vocabulary
 and aggregates the bytes in position order. Nothing is shuffled: the plan is a
 scan and one Arrow map, and a lost task only repeats its own partition.
 
-Nulls count as empty texts; an empty text has no tokens. Repeated rows give
-repeated rows. Other columns are ignored, whatever their names.
+Nulls count as empty texts; an empty text has no tokens and the digests of no bytes; a
+text of any length is encoded whole. Repeated rows give repeated rows, an empty table
+an empty one. Null ids stay. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import os
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: Text bytes that one round of extraction and encoding takes; bounds memory.
-ROUND_BYTES = 12 << 20
+ROUND_BYTES = 4 << 20
 #: Distinct pieces that one recursive query takes.
-ROUND_WORDS = 60_000
+ROUND_WORDS = 30_000
 #: Pieces over this many bytes go to the query that contracts row by row.
 LONG_PIECE = 96
-#: Distinct pieces that a worker remembers, with their ids, from batch to batch.
-KNOWN_PIECES = 600_000
+#: Distinct pieces that a partition remembers, with their ids, from batch to batch.
+KNOWN_PIECES = 300_000
 #: Bits for a token id in a packed pair.
 ID_BITS = 17
 
@@ -123,29 +126,42 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.lru_cache(maxsize=2)
+def tables(path: str) -> tuple[np.ndarray, pa.Table, pa.Table]:
+    """A vocabulary's byte ids, merge table and tokens; a few MB."""
+    ranks = read_ranks(path)
+    if max(ranks.values()) >= 1 << ID_BITS:
+        raise ValueError(f"ids need more than {ID_BITS} bits")
+    pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+    least: dict[int, int] = {}
+    for a, b, r in pairs:
+        least[a], least[b] = min(least.get(a, r), r), min(least.get(b, r), r)
+    merges = pa.table({"pair": pa.array([a << ID_BITS | b for a, b, _ in pairs], pa.int64()), "rank": pa.array([r for *_, r in pairs], pa.int32()), "safe": pa.array([least.get(r, r) >= r for *_, r in pairs])})
+    words = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+    return np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), merges, words
+
+
 class Codec:
-    """An in-process DuckDB that holds a merge table and a vocabulary."""
+    """An in-process DuckDB that holds a merge table and a vocabulary. It lives as long
+    as a partition: ``close`` gives its memory and its scratch folder back."""
 
     def __init__(self, path: str):
         import duckdb
 
-        ranks = read_ranks(path)
-        if max(ranks.values()) >= 1 << ID_BITS:
-            raise ValueError(f"ids need more than {ID_BITS} bits")
-        pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
-        least: dict[int, int] = {}
-        for a, b, r in pairs:
-            least[a], least[b] = min(least.get(a, r), r), min(least.get(b, r), r)
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
+        self.of_byte, merges, words = tables(path)
+        self.scratch = tempfile.mkdtemp(prefix="bpe-")  # DuckDB's own, read by nobody else
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": self.scratch})
         self.known = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())]
-        merges = pa.table({"pair": pa.array([a << ID_BITS | b for a, b, _ in pairs], pa.int64()), "rank": pa.array([r for *_, r in pairs], pa.int32()), "safe": pa.array([least.get(r, r) >= r for *_, r in pairs])})
-        words = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
         for name, table in (("merges", merges), ("vocabulary", words)):
             self.db.register("incoming", table)
             self.db.execute(f"create table {name} as select * from incoming")
             self.db.unregister("incoming")
 
+    def close(self) -> None:
+        self.db.close()
+        self.known = []
+        shutil.rmtree(self.scratch, ignore_errors=True)
+
     def _query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
             self.db.register(name, table)
@@ -228,12 +244,6 @@ class Codec:
         return joined[1], joined[2], places
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """One codec a Python worker and vocabulary."""
-    return Codec(path)
-
-
 def rounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about ROUND_BYTES of text; a longer text has a round alone."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -246,12 +256,16 @@ def rounds(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _each_round(batches: Iterator[pa.RecordBatch], path: str, pattern: str, make: Callable) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = pc.fill_null(batch.column(1), "")
-        texts = texts.cast(pa.string()) if texts.type != pa.string() else texts
-        for at, to in rounds(texts):
-            id_ends, ids, byte_ends, data = codec(path).encode(texts.slice(at, to - at), pattern)
-            yield from make(batch.column(0).slice(at, to - at), id_ends, ids, byte_ends, data)
+    codec = Codec(path)
+    try:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            texts = texts.cast(pa.string()) if texts.type != pa.string() else texts
+            for at, to in rounds(texts):
+                id_ends, ids, byte_ends, data = codec.encode(texts.slice(at, to - at), pattern)
+                yield from make(batch.column(0).slice(at, to - at), id_ends, ids, byte_ends, data)
+    finally:
+        codec.close()
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,8 +277,9 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
         decoded = pa.array([data[a:b] for a, b in zip(starts(byte_ends), byte_ends, strict=False)], pa.binary())
         yield pa.RecordBatch.from_arrays([keys, lists, decoded], names=[key, "ids", "decoded"])
 
+    common.bound_batches(df.sparkSession)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return df.select(key, F.col(text).cast("string")).mapInArrow(lambda it: _each_round(it, path, pattern, make), schema)
+    return df.select(key, F.col(text).cast("string")).mapInArrow(lambda it: common.released(_each_round(it, path, pattern, make)), schema)
 
 
 def digest(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,5 +297,6 @@ def digest(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
             names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
+    common.bound_batches(df.sparkSession)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.select(key, F.col(text).cast("string")).mapInArrow(lambda it: _each_round(it, path, pattern, make), schema)
+    return df.select(key, F.col(text).cast("string")).mapInArrow(lambda it: common.released(_each_round(it, path, pattern, make)), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,19 +21,32 @@ BLANKS = r"\x20\x09-\x0D"
 #: Bytes up to which a written side may be broadcast.
 BROADCAST_BYTES = 24 << 20
 #: Bytes of an Arrow batch that a Python worker gets, where the session says nothing.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset a temporary folder will do on one machine only; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; afterwards the memory that they needed goes back to the system, so
+    that a Python worker that Spark reuses holds no more than a new one."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 

@@ -135,7 +135,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), leads, pc.list_value_length(leads), least], names=["id", "n", "node", "lead", "leads", "least"])
 
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("lead", T.ArrayType(T.LongType())), T.StructField("leads", T.IntegerType()), T.StructField("least", T.LongType())])
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), schema)
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def whole_sets(df: DataFrame, words: int, percent: int) -> DataFrame:
             yield part.filter(pc.equal(nodes, b.column(0).cast(pa.binary())))  # an id may repeat with another text
 
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("other", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda it: common.released(run(it)), schema)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -202,6 +202,7 @@ def verifier(sets: DataFrame, percent: int):
 def group(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The operator: key, n_shingles and component_id (least key of those reachable
     by links; the row's own if it links with nothing)."""
+    common.bound_batches(df.sparkSession)
     signed = signatures(df, key, text, words, percent).withColumn("place", F.monotonically_increasing_id())
     signed = common.materialize(signed, "signatures")  # places are fixed from here on
     real = signed.where("node is not null and id is not null")

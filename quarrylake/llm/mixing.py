@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,16 +127,22 @@ def _planner(seed: int, window: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return plan
 
 
+def _order(seed: int, key: str, text: str) -> Column:
+    """A seeded place in the order of choice; rows that repeat an id with another text
+    have places of their own."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, seed: int = SEED, buckets: int = BUCKETS, window: int = WINDOW) -> DataFrame:
-    """The operator: key, size, source_size, target, copies, taken (= copies x size)
-    for every row of ``df``."""
+    """The operator: key, size, source_size, target, copies, taken (= copies x size) and
+    order (its seeded place) for every row of ``df``."""
     spark = df.sparkSession
     rows = df.select(
         F.col(key).alias("id"),
         F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         common.word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("order"),
+        _order(seed, key, text).alias("order"),
     ).withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
     rows = common.materialize(rows, "mix-rows")
     group = ["no_source", "source", "size"]
@@ -159,15 +165,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         rows.withColumn("rank", rank)
         .join(share, [*group, "bucket"])
         .withColumn("copies", copies.cast("long"))
-        .select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order")
     )
 
 
-def apply(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``df`` with each row as often as the mix takes it. Rows that repeat an id are
-    one document: each gets the most copies that one of them has. Rows with a null id
-    have no copies to be found by and stay once."""
-    copies = mix(df, key, **options).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("copies").cast("int").alias("__copies"))
-    copies = common.small_enough(common.materialize(copies, "copies"))
-    rows = df.join(copies, key, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*df.columns)
+def apply(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, **options) -> DataFrame:
+    """``df`` with each row as often as the mix takes it: rows are found by id and text,
+    null ids too. Of rows equal in both each gets the most copies that one of them has."""
+    names = [f"c{i}" for i in range(len(df.columns))]  # no name of theirs can clash
+    at, own = df.columns.index(key), df.toDF(*names)
+    rows = own.withColumn("order", _order(seed, names[at], names[df.columns.index(text)]))
+    mixed = mix(df, key, text, seed=seed, **options).select(F.col(key).alias("id"), "copies", "order")
+    copies = common.materialize(mixed.groupBy("id", "order").agg(F.max("copies").cast("int").alias("copies")), "copies")
+    found = rows.join(common.small_enough(copies.withColumnRenamed("order", "place")), F.col(names[at]).eqNullSafe(F.col("id")) & (F.col("order") == F.col("place")))
+    return found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(names).toDF(*df.columns)

@@ -36,6 +36,9 @@ from . import common
 PASSAGE = 96
 #: Labelled documents that are learned from, at most.
 SAMPLE = 6_000
+#: Passages of a labelled document that are learned from, at most, evenly spread; scores
+#: read all passages.
+LEARNED = 256
 #: Signed hash features of a passage's words.
 HASHED = 32
 #: Character classes by byte: upper, lower, digit, blank-free ASCII marks by kind,
@@ -45,6 +48,8 @@ SHAPES = 7
 #: Features of a passage.
 WIDTH = 3 + 2 * SHAPES + 5 + HASHED
 SEED = 17
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: Words whose features are gathered at once.
 GATHERED = 1 << 17
 
@@ -195,12 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in common.slices(b, 0):
+            for part in common.slices(b, 0, max_bytes=SLICE):
                 n, x = encode(part.column(0))
+                if (n > LEARNED).any():
+                    picked = np.concatenate([e - k + (np.unique(np.linspace(0, k - 1, LEARNED).astype(int)) if k > LEARNED else np.arange(k)) for e, k in zip(np.cumsum(n), n, strict=True)])
+                    n, x = np.minimum(n, LEARNED), x[picked]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n), pa.array([x[e - k : e].tobytes() for e, k in zip(np.cumsum(n), n, strict=True)], pa.binary())], names=["id", "y", "n", "x"])
 
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("y", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("x", T.BinaryType())])
-    found = own.select("t", "id", "y").mapInArrow(run, schema).toPandas()
+    common.bound_batches(docs.sparkSession)
+    found = own.select("t", "id", "y").mapInArrow(lambda it: common.released(run(it)), schema).toPandas()
     found = found.sort_values(["id", "n"], ignore_index=True)
     if found["y"].nunique() < 2:
         return None
@@ -214,7 +223,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in common.slices(b, 2):
+            for part in common.slices(b, 2, max_bytes=SLICE):
                 if model is None:
                     scores = np.full(part.num_rows, 0.5)
                 else:
@@ -222,7 +231,8 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
                     scores = np.round(model.bags(x.astype(np.float64), n), 6)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64())], names=schema.names)
 
-    return df.select(F.col(key), held_out(key).alias("held_out"), F.col(text).cast("string")).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    common.bound_batches(df.sparkSession)
+    return df.select(F.col(key), held_out(key).alias("held_out"), F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,14 +247,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = fit(docs, labels, key, text)
     if model is None:
         return docs
-    names = docs.columns
+    at = docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of theirs can clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in common.slices(b, b.num_columns - 1):
-                n, x = encode(part.column(part.num_columns - 1))
-                good = pa.array(np.round(model.bags(x.astype(np.float64), n), 6) >= 0.5)
-                kept = part.filter(good)
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
+            for part in common.slices(b, at, max_bytes=SLICE):
+                n, x = encode(part.column(at))
+                yield part.filter(pa.array(np.round(model.bags(x.astype(np.float64), n), 6) >= 0.5))
 
-    return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    rows = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
+    kept = rows.mapInArrow(lambda it: common.released(run(it)), rows.schema)
+    return kept.select(*(F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, docs.schema, strict=True)))

@@ -340,7 +340,7 @@ def test_codec_equals_the_library(tokenizer):
     texts = TEXTS + ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 40)) for _ in range(200)] + ["".join(rng.choice(list("abc '\n1!"), 60)) for _ in range(200)]
     texts += ["".join(rng.choice(list("lo"), 600)), "".join(rng.choice(list("abcdefgh"), 700))]
     for own in (texts, ["".join(bpe.MARKS) + " x"]):
-        ends, ids, byte_ends, data = bpe.codec(path).encode(pa.array(own, pa.string()), pattern)
+        ends, ids, byte_ends, data = bpe.Codec(path).encode(pa.array(own, pa.string()), pattern)
         at, byte_at = [0, *ends], [0, *byte_ends]
         for i, t in enumerate(own):
             assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode_ordinary(t), repr(t)
