@@ -31,12 +31,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram Jaccard links join, and of rows that repeat an id, one stays."""
     groups = jaccard.group(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(common.small_enough(common.materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    gone = common.materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(common.small_enough(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = common.materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64(*docs.columns), row)).alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
@@ -64,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's table goes once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage{i}")
+        docs, before = common.materialize(stage(spark, docs, sf_dir), f"stage{i}"), docs
+        common.discard(before)
     return docs
