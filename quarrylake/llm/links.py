@@ -58,6 +58,18 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
+def few_pairs(postings: DataFrame, fit: Callable[[Column, Column], Column], per_posting: int) -> DataFrame | None:
+    """The pairs (a, b) of nodes that share a key and whose sizes ``fit``, each once and
+    written, if the keys' pairs are no more than ``per_posting`` a posting; else None."""
+    per_key = postings.groupBy("key").agg(F.count("*").alias("n"))
+    found = per_key.agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+    if (found["pairs"] or 0) > per_posting * (found["n"] or 0):
+        return None
+    one, other = (postings.select("key", F.col("node").alias(f"node_{n}"), F.col("size").alias(f"size_{n}")) for n in "xy")
+    both = one.join(other, (one["key"] == other["key"]) & (F.col("node_x") < F.col("node_y")) & fit(F.col("size_x"), F.col("size_y")))
+    return common.materialize(both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "near")
+
+
 def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes

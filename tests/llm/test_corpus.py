@@ -675,7 +675,7 @@ def test_recall_of_blocks_at_the_limit(changed):
         _, _, sizes, index, words = line_dedup.line_words([b" ".join(x) for x in lines])
         assert sizes.tolist() == [len(x) for x in lines] and [words[i] for i in index] == [w for x in lines for w in x]
         one, two = line_dedup.word_hashes(words)
-        at, found = line_dedup.candidate_keys(sizes, index, one, two, np.ones(len(words)), 5, 0.8)
+        at, found = line_dedup.candidate_keys(sizes, index, one, two, np.full(len(words), 7.0), 18.0, 5, 0.8)
         keys = collections.defaultdict(set)
         for i, k in zip(at.tolist(), found.tolist(), strict=True):
             keys[i].add(k)
@@ -691,10 +691,10 @@ def test_words_disturb_one_block_each():
     other = [b"new%d" % i if i in (3, 30, 31) else w for i, w in enumerate(line)]
     _, _, sizes, index, words = line_dedup.line_words([b" ".join(line), b" ".join(other)])
     one, two = line_dedup.word_hashes(words)
-    votes, at = line_dedup.vote_table(one), np.repeat([0, 1], sizes)
-    where, keys = line_dedup.block_keys(at, np.full(len(at), 5), index, two, votes, np.ones(len(words)), posted=99)
+    where, keys = line_dedup.block_keys(sizes, index, one, two, np.full(len(words), 7.0), 18.0, posted=99)
     a, b = set(keys[where == 0].tolist()), set(keys[where == 1].tolist())
-    assert len(a - b) <= 6 and len(b - a) <= 6 and len(a & b) >= 16
+    assert len(a - b) <= 6 and len(b - a) <= 6 and len(a & b) >= 5
+    votes = line_dedup.vote_table(one)
     many = np.repeat([0, 1, 2], [300, 2, 1])  # more votes than a byte counts
     bits = line_dedup.simhash(votes, many, np.array([0, 303 - 3]), np.array([300, 3]))
     plain = [sum(int(v) for v in ((votes[i // 8][w] >> np.uint64(8 * (i % 8))) & np.uint64(1) for w in many[:300])) for i in range(48)]
