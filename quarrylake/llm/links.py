@@ -70,6 +70,23 @@ def few_pairs(postings: DataFrame, fit: Callable[[Column, Column], Column], per_
     return common.materialize(both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "near")
 
 
+def components_of(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of those written ``pairs`` (a < b) that pass ``verify``. Each b is first
+    held against its least partner; then only pairs that are still apart are checked."""
+    found = common.materialize(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).select("a", "b"), "links")
+    first = common.materialize(components(found), "labels")
+    own = common.small_enough(first)
+    apart = pairs
+    for c in "ab":
+        apart = apart.join(own.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}")), c, "left")
+    apart = apart.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    more = common.materialize(verify(apart).select("a", "b"), "links")
+    both = found.unionByName(more)
+    labels = first if more.isEmpty() else common.materialize(components(both), "labels")
+    common.discard(found, more, *([] if labels is first else [first]))
+    return labels
+
+
 def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes

@@ -672,10 +672,9 @@ def test_recall_of_blocks_at_the_limit(changed):
                 near = shorter
             assert line_dedup.edit_similar(line, near, 0.8)
             lines += [line, near]
-        _, _, sizes, index, words = line_dedup.line_words([b" ".join(x) for x in lines])
-        assert sizes.tolist() == [len(x) for x in lines] and [words[i] for i in index] == [w for x in lines for w in x]
-        one, two = line_dedup.word_hashes(words)
-        at, found = line_dedup.candidate_keys(sizes, index, one, two, np.full(len(words), 7.0), 18.0, 5, 0.8)
+        _, _, sizes, one, two = line_dedup.line_words([b" ".join(x) for x in lines])
+        assert sizes.tolist() == [len(x) for x in lines]
+        at, found = line_dedup.candidate_keys(sizes, one, two, lambda w: np.full(len(w), 7.0), 18.0, 5, 0.8)
         keys = collections.defaultdict(set)
         for i, k in zip(at.tolist(), found.tolist(), strict=True):
             keys[i].add(k)
@@ -689,23 +688,38 @@ def test_words_disturb_one_block_each():
     rng = np.random.default_rng(13)
     line = [b"w%d" % i for i in rng.integers(0, 9_999, 60)]
     other = [b"new%d" % i if i in (3, 30, 31) else w for i, w in enumerate(line)]
-    _, _, sizes, index, words = line_dedup.line_words([b" ".join(line), b" ".join(other)])
-    one, two = line_dedup.word_hashes(words)
-    where, keys = line_dedup.block_keys(sizes, index, one, two, np.full(len(words), 7.0), 18.0, posted=99)
+    _, _, sizes, one, _ = line_dedup.line_words([b" ".join(line), b" ".join(other)])
+    where, keys = line_dedup.block_keys(sizes, one, lambda w: np.full(len(w), 7.0), 18.0, posted=99)
     a, b = set(keys[where == 0].tolist()), set(keys[where == 1].tolist())
     assert len(a - b) <= 6 and len(b - a) <= 6 and len(a & b) >= 5
-    votes = line_dedup.vote_table(one)
-    many = np.repeat([0, 1, 2], [300, 2, 1])  # more votes than a byte counts
-    bits = line_dedup.simhash(votes, many, np.array([0, 303 - 3]), np.array([300, 3]))
-    plain = [sum(int(v) for v in ((votes[i // 8][w] >> np.uint64(8 * (i % 8))) & np.uint64(1) for w in many[:300])) for i in range(48)]
-    assert int(bits[0]) == sum((2 * n > 300) << i for i, n in enumerate(plain))
+    many = np.repeat(one[:3], [300, 2, 1])  # more votes than a byte counts
+    bits = line_dedup.simhash(many, np.array([0, 300]), np.array([300, 3]))
+    voted = line_dedup.mixed(many ^ line_dedup.MIX[2])
+    for at, own in enumerate((voted[:300], voted[300:])):
+        assert int(bits[at]) == sum((2 * sum(int(v) >> i & 1 for v in own) > len(own)) << i for i in range(line_dedup.BLOCK_BITS))
+
+
+def test_shared_keys_are_found_across_batches():
+    rng = np.random.default_rng(14)
+    for size in (1, 2, 3, 50):
+        rows = sorted((int(k), int(d)) for k, d in zip(rng.integers(0, 12, 60), rng.integers(0, 4, 60)))
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([d for _, d in rows[i : i + size]])], names=["key", "d1"]) for i in range(0, 60, size)]
+        found = [r for b in line_dedup._shared(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        many = collections.Counter(k for k, _ in set(rows))
+        assert sorted(found) == sorted(r for r in set(rows) if many[r[0]] > 1)
 
 
 def test_line_words_and_pieces():
     texts = [b"", b" \n", b"One  two\tONE\n\n\x0bthree\r\n", b"\n\nx", b"a\x00b \xc3\x89"]
-    owner, number, sizes, index, words = line_dedup.line_words(texts)
+    owner, number, sizes, one, two = line_dedup.line_words(texts)
     assert (owner.tolist(), number.tolist(), sizes.tolist()) == ([2, 2, 3, 4], [0, 2, 2, 0], [3, 1, 1, 2])
-    assert [words[i] for i in index] == [b"one", b"two", b"one", b"three", b"x", b"a\x00b", b"\xc3\x89"]
+    assert one[0] == one[2] and len(set(one.tolist())) == 6 and len(set(two.tolist())) == 6
+    rng = np.random.default_rng(15)
+    words = list({bytes(rng.choice(list(b"ab\x00\xff"), int(rng.integers(1, 40)))) for _ in range(5_000)})
+    for order in (words, words[::-1]):
+        *_, one, two = line_dedup.line_words([b" ".join(order)])
+        assert len(one) == len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+        assert dict(zip(order, one.tolist())) == dict(zip(words, line_dedup.line_words([b" ".join(words)])[3].tolist()))
     long = "\n".join("line %d" % i for i in range(500)) + "\n"
     for limit in (1, 7, 64, 1 << 20):
         found = [(i, n + k, line) for group in line_dedup.pieces(pa.array([long, None, "", "x\n", "\n\n"]), limit) for i, n, t in group for k, line in enumerate(t.split(b"\n"))]
