@@ -58,36 +58,7 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def few_pairs(postings: DataFrame, fit: Callable[[Column, Column], Column], per_posting: int) -> DataFrame | None:
-    """The pairs (a, b) of nodes that share a key and whose sizes ``fit``, each once and
-    written, if the keys' pairs are no more than ``per_posting`` a posting; else None."""
-    per_key = postings.groupBy("key").agg(F.count("*").alias("n"))
-    found = per_key.agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-    if (found["pairs"] or 0) > per_posting * (found["n"] or 0):
-        return None
-    one, other = (postings.select("key", F.col("node").alias(f"node_{n}"), F.col("size").alias(f"size_{n}")) for n in "xy")
-    both = one.join(other, (one["key"] == other["key"]) & (F.col("node_x") < F.col("node_y")) & fit(F.col("size_x"), F.col("size_y")))
-    return common.materialize(both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "near")
-
-
-def components_of(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of those written ``pairs`` (a < b) that pass ``verify``. Each b is first
-    held against its least partner; then only pairs that are still apart are checked."""
-    found = common.materialize(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).select("a", "b"), "links")
-    first = common.materialize(components(found), "labels")
-    own = common.small_enough(first)
-    apart = pairs
-    for c in "ab":
-        apart = apart.join(own.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}")), c, "left")
-    apart = apart.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-    more = common.materialize(verify(apart).select("a", "b"), "links")
-    both = found.unionByName(more)
-    labels = first if more.isEmpty() else common.materialize(components(both), "labels")
-    common.discard(found, more, *([] if labels is first else [first]))
-    return labels
-
-
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING, labels: DataFrame | None = None) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes
     ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
@@ -102,9 +73,9 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     ``sketch`` has a table (node, bits) and a condition on two nodes' bits and sizes that
     every link meets; it thins out the pairs of the last step inside their join. Where
     ``fit`` does so itself, ``per_posting`` may leave more of them to that step.
+    ``labels`` are components (node, component; written) that are known already.
     """
-    labels = None
-    for i in range(rounds + 1):
+    for i in range(0 if labels is None else 1, rounds + 1):
         if labels is None:
             rest, last, mixed = postings.withColumn("comp", F.col("node")), False, None
         else:

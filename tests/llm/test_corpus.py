@@ -702,11 +702,16 @@ def test_words_disturb_one_block_each():
 def test_shared_keys_are_found_across_batches():
     rng = np.random.default_rng(14)
     for size in (1, 2, 3, 50):
-        rows = sorted((int(k), int(d)) for k, d in zip(rng.integers(0, 12, 60), rng.integers(0, 4, 60)))
+        rows = sorted(((int(k), int(d)) for k, d in zip(rng.integers(-6, 6, 60), rng.integers(0, 4, 60))), key=lambda r: r[0])
         batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([d for _, d in rows[i : i + size]])], names=["key", "d1"]) for i in range(0, 60, size)]
-        found = [r for b in line_dedup._shared(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        many = collections.Counter(k for k, _ in set(rows))
-        assert sorted(found) == sorted(r for r in set(rows) if many[r[0]] > 1)
+        found = [tuple(r.values()) for b in line_dedup._shared(iter(batches)) for r in b.to_pylist()]
+        own = collections.defaultdict(set)
+        for k, d in rows:
+            own[k].add(d)
+        first = {k: f for k, _, f, _ in found}
+        assert all(first[k] == f and d != f for k, d, f, _ in found)
+        assert {(k, d) for k, d, *_ in found} == {(k, d) for k, o in own.items() if len(o) > 1 for d in o if d != first[k]}
+        assert all(m for k, _, _, m in found if len(own[k]) > 2)
 
 
 def test_line_words_and_pieces():
