@@ -714,6 +714,16 @@ def test_shared_keys_are_found_across_batches():
         assert all(m for k, _, _, m in found if len(own[k]) > 2)
 
 
+def test_poor_lines_have_blocks():
+    """Lines of few and common words: cut by a tenth they still share a block."""
+    lines = [[b"w"] * 50, [b"w"] * 46, [b"a", b"b"] * 30, [b"a", b"b"] * 28, [b"|"] * 80 + [b"x", b"y", b"z"], [b"|"] * 76 + [b"x", b"y", b"z", b"new"]]
+    _, _, sizes, one, two = line_dedup.line_words([b" ".join(x) for x in lines])
+    for rarity in (0.0, 0.1, 2.0):
+        at, found = line_dedup.candidate_keys(sizes, one, two, lambda w, r=rarity: np.full(len(w), r), 18.0, 5, 0.8)
+        keys = [set(found[at == i].tolist()) for i in range(len(lines))]
+        assert all(keys) and keys[0] & keys[1] and keys[2] & keys[3] and (rarity < 1 or keys[4] & keys[5])
+
+
 def test_line_words_and_pieces():
     texts = [b"", b" \n", b"One  two\tONE\n\n\x0bthree\r\n", b"\n\nx", b"a\x00b \xc3\x89"]
     owner, number, sizes, one, two = line_dedup.line_words(texts)
