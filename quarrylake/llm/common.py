@@ -55,7 +55,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # read once or twice: speed over size
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
