@@ -31,13 +31,13 @@ from pyspark.sql import types as T
 from . import common
 
 #: Text bytes that one round of extraction and encoding takes; bounds memory.
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 1 << 20
 #: Distinct pieces that one recursive query takes.
-ROUND_WORDS = 30_000
+ROUND_WORDS = 8_000
 #: Pieces over this many bytes go to the query that contracts row by row.
 LONG_PIECE = 96
 #: Distinct pieces that a partition remembers, with their ids, from batch to batch.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 120_000
 #: Bits for a token id in a packed pair.
 ID_BITS = 17
 
@@ -149,8 +149,9 @@ class Codec:
         import duckdb
 
         self.of_byte, merges, words = tables(path)
+        common.trim()  # what reading the ranks took
         self.scratch = tempfile.mkdtemp(prefix="bpe-")  # DuckDB's own, read by nobody else
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": self.scratch})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": self.scratch})
         self.known = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())]
         for name, table in (("merges", merges), ("vocabulary", words)):
             self.db.register("incoming", table)

@@ -20,8 +20,10 @@ BLANKS = r"\x20\x09-\x0D"
 
 #: Bytes up to which a written side may be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Written bytes of a table that is that small however it unfolds.
+SURELY_SMALL = 1 << 20
 #: Bytes of an Arrow batch that a Python worker gets, where the session says nothing.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; afterwards the memory that they needed goes back to the system, so
     that a Python worker that Spark reuses holds no more than a new one."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -61,13 +68,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _files(t: DataFrame):
+    """A *materialized* table's file system and folder."""
+    jvm = t.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(t._written_to)
+    return path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes *materialized* tables that nothing will read again."""
     for t in tables:
         if t is not None and hasattr(t, "_written_to"):
-            jvm = t.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t._written_to)
-            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = _files(t)
+            fs.delete(path, True)
 
 
 def row_bytes(schema: T.StructType) -> Column:
@@ -91,6 +104,8 @@ def row_bytes(schema: T.StructType) -> Column:
 def small_enough(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a *materialized* side for broadcast only when its rows' counted bytes are
     within ``max_bytes``; beyond that the planner is left to shuffle."""
+    if hasattr(df, "_written_to") and _files(df)[0].getContentSummary(_files(df)[1]).getLength() <= min(SURELY_SMALL, max_bytes // 16):
+        return F.broadcast(df)
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= max_bytes else df
 
 

@@ -103,7 +103,8 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             heads = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("head")).select("key", "head")
             both = rest.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fit(F.col("size"), F.col("head.size")))
             pairs = _pairs(both.select(F.col("node").alias("x"), F.col("head.node").alias("y")))
-        found = common.materialize(verify(pairs).select("a", "b"), "links")
+        found = verify(pairs)
+        found = found if hasattr(found, "_written_to") else common.materialize(found.select("a", "b"), "links")
         common.discard(mixed)
         if labels is None or not found.isEmpty():
             before = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
