@@ -14,7 +14,13 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "sha512": ("a STRING", "STRING", "sha2(a, 512)"),
     "to_hex": ("a BIGINT", "STRING", "lower(hex(a))"),
     "date_bin_minutes": ("n INT, t TIMESTAMP_NTZ", "TIMESTAMP_NTZ", "timestampadd(MINUTE, CAST(floor(timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', t) / n) * n AS INT), TIMESTAMP_NTZ'1970-01-01 00:00:00')"),
-    "generate_series": ("a BIGINT, b BIGINT", "ARRAY<BIGINT>", "sequence(a, b)"),
+    "date_bin": (
+        "stride INTERVAL DAY TO SECOND, t TIMESTAMP_NTZ, origin TIMESTAMP_NTZ DEFAULT TIMESTAMP_NTZ'1970-01-01 00:00:00'",
+        "TIMESTAMP_NTZ",
+        "timestampadd(MICROSECOND, CAST(floor(timestampdiff(MICROSECOND, origin, t) / timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'1970-01-01 00:00:00' + stride)) AS BIGINT) * timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'1970-01-01 00:00:00' + stride), origin)",
+    ),
+    "generate_series": ("a BIGINT, b BIGINT, step BIGINT DEFAULT 1", "ARRAY<BIGINT>", "CASE WHEN (step > 0 AND a > b) OR (step < 0 AND a < b) THEN CAST(array() AS ARRAY<BIGINT>) ELSE sequence(a, b, step) END"),
+    "string_to_array": ("a STRING, b STRING", "ARRAY<STRING>", r"CASE WHEN b = '' THEN array(a) ELSE split(a, concat('\\Q', replace(b, '\\E', '\\E\\\\E\\Q'), '\\E')) END"),
     "array_length": ("a ARRAY<STRING>", "INT", "size(a)"),
     "trunc_number": ("a DOUBLE", "DOUBLE", "CASE WHEN a < 0 THEN ceil(a) ELSE floor(a) END"),
 }
@@ -25,7 +31,6 @@ RENAMED = {
     "approx_percentile_cont": "approx_percentile",
     "approx_median": "median",
     "array_to_string": "array_join",
-    "string_to_array": "split",
     "list_contains": "array_contains",
     "unnest": "explode",
 }

@@ -112,7 +112,7 @@ def part_numbers(df: DataFrame, rows: int, order: str = "__row") -> DataFrame:
 
 
 def split_file(spark: SparkSession, path: str, rows: int, folder: str, kind: str = "parquet") -> int:
-    """Parts of ``rows`` rows in file order, the last one with the rest."""
+    """Parts of ``rows`` rows in file order, numbered from 001, the last one with the rest."""
     if rows < 1:
         raise ValueError("max_rows_per_file must be 1 or more")
     if kind not in ("parquet", "pq", "csv"):
@@ -120,22 +120,24 @@ def split_file(spark: SparkSession, path: str, rows: int, folder: str, kind: str
     if registry.known(path) is None:
         raise UnsupportedFormat(f"Unsupported format: {path}")
     df = readers.read_file(spark, path)
+    row, part = (f"{name}_{uuid.uuid4().hex}" for name in ("row", "part"))  # no column of the file can clash
     if registry.known(path).kind == "parquet":
-        numbered = df.select("*", F.col("_metadata.row_index").alias("__row"))
+        numbered = df.select("*", F.col("_metadata.row_index").alias(row))
     else:
-        numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(df.schema.add("__row", "long"))
-    numbered = part_numbers(numbered, rows)
+        numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(df.schema.add(row, "long"))
+    numbered = numbered.withColumn(part, F.expr(f"{row} div {rows}"))
     stem = path.rpartition("/")[2].rpartition(".")[0]
-    parts = [r["part"] for r in numbered.select("part").distinct().orderBy("part").collect()]
+    parts = [r[0] for r in numbered.select(part).distinct().orderBy(part).collect()]
     stage = f"{folder}/.stage-{uuid.uuid4().hex}"
-    out = csvguard.guard(numbered.drop("__row")) if kind == "csv" else numbered.drop("__row")
-    # One shuffle deals the parts out; each is sorted and written by one task.
-    written = (out.withColumn("__row", F.lit(0)) if "__row" in out.columns else out).repartition(max(1, len(parts)), "part").write.partitionBy("part")
+    # One shuffle deals the parts out; each is sorted by its rows' numbers and written whole.
+    dealt = numbered.repartition(max(1, len(parts)), part).sortWithinPartitions(part, row).drop(row)
+    out = csvguard.guard(dealt) if kind == "csv" else dealt  # numbers are left as they are
+    written = out.write.option("maxRecordsPerFile", 0).partitionBy(part)
     try:
         written.option("header", True).csv(stage) if kind == "csv" else written.option("compression", "zstd").parquet(stage)
         for p in parts:
-            own = [c.path for c in files.children(spark, f"{stage}/part={p}") if c.path.rpartition("/")[2].startswith("part-")]
-            files.move(spark, own[0], f"{folder}/{stem}_part_{p:03d}.{kind}")
+            found = [c.path for c in files.children(spark, f"{stage}/{part}={p}") if c.path.rpartition("/")[2].startswith("part-")]
+            files.move(spark, found[0], f"{folder}/{stem}_part_{p + 1:03d}.{kind}")
     finally:
         files.delete(spark, stage)
     return len(parts)

@@ -21,8 +21,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_inner": "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'BUILDING'",
     "join_left": "SELECT c.c_custkey, COUNT(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 GROUP BY c.c_custkey",
     "join_right": "SELECT n.n_name, s.s_suppkey FROM {supplier} s RIGHT JOIN {nation} n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0",
-    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM {supplier} WHERE s_nationkey < 12) s FULL JOIN (SELECT * FROM {customer} WHERE c_custkey < 60) c ON s.s_nationkey = c.c_nationkey",
-    "join_full_whole": "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM {customer} c FULL JOIN {orders} o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0",
+    "join_full": "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM {customer} c FULL JOIN {orders} o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0",
     "join_semi": "SELECT c_custkey, c_name FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
     "join_anti": "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",

@@ -104,9 +104,13 @@ def query(spark: SparkSession, text: str) -> DataFrame:
         raise QueryError("only queries run here; views, copies and changes of tables do not")
     try:
         install(spark)
-        bound, _ = bind(spark, text)
-        with settings(spark, spark__sql__ansi__doubleQuotedIdentifiers="true"):
-            return spark.sql(bound.rstrip().rstrip(";"))
+        bound, views = bind(spark, text)
+        try:
+            with settings(spark, spark__sql__ansi__doubleQuotedIdentifiers="true"):
+                return spark.sql(bound.rstrip().rstrip(";"))
+        finally:  # the plan holds what the views named
+            for view in views:
+                spark.catalog.dropTempView(view)
     except (PySparkException, LakeError) as e:
         raise QueryError(str(e)) from e
 

@@ -273,13 +273,44 @@ def test_split(spark, engine, tmp_path):
     path = fx.delimited(tmp_path / "t.csv", ",")
     assert engine.split_file(path, 1, str(tmp_path / "s"), "parquet") == 6
     assert engine.split_file(path, 4, str(tmp_path / "s2"), "csv") == 2
-    assert open(tmp_path / "s2/t_part_001.csv").read().splitlines()[1:] == ["12,50.0,1.2", "1,0.0,5.0"]
+    assert sorted(p.name for p in (tmp_path / "s2").iterdir() if not p.name.startswith(".")) == ["t_part_001.csv", "t_part_002.csv"]
+    assert open(tmp_path / "s2/t_part_002.csv").read().splitlines()[1:] == ["12,50.0,1.2", "1,0.0,5.0"]
     with pytest.raises(ValueError):
         engine.split_file(path, 0, str(tmp_path / "s"))
     with pytest.raises(ValueError):
         engine.split_file(path, 2, str(tmp_path / "s"), "xml")
 
 
+def test_split_keeps_every_column_and_the_order(spark, engine, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pa.table({"id": range(1_000), "part": [str(i % 7) for i in range(1_000)], "__row": [0] * 1_000})
+    pq.write_table(t, tmp_path / "t.parquet", row_group_size=90)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        assert engine.split_file(str(tmp_path / "t.parquet"), 300, str(tmp_path / "s"), "parquet") == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = [pq.read_table(tmp_path / f"s/t_part_{i:03d}.parquet") for i in range(1, 5)]
+    assert [x.num_rows for x in got] == [300, 300, 300, 100] and pa.concat_tables(got).to_pydict() == t.to_pydict()
+
+
+def test_functions_of_other_engines(spark, engine, tmp_path):
+    from quarrylake.plans import sqlgate
+
+    before = len(spark.catalog.listTables())
+    one = lambda x: sqlgate.query(spark, f"SELECT {x} AS x").first()[0]
+    assert one("string_to_array('a.b.c', '.')") == ["a", "b", "c"] and one("string_to_array('a|b', '|')") == ["a", "b"]
+    assert one("string_to_array('a', '')") == ["a"]
+    assert one("generate_series(5, 1)") == [] and one("generate_series(1, 7, 3)") == [1, 4, 7] and one("generate_series(5, 1, -2)") == [5, 3, 1]
+    assert str(one("date_bin(INTERVAL '15' MINUTE, TIMESTAMP_NTZ'2026-01-02 03:44:05')")) == "2026-01-02 03:30:00"
+    assert str(one("date_bin(INTERVAL '1' DAY, TIMESTAMP_NTZ'2026-01-02 03:44:05', TIMESTAMP_NTZ'2026-01-01 06:00:00')")) == "2026-01-01 06:00:00"
+    path = fx.delimited(tmp_path / "t.csv", ",")
+    assert sqlgate.query(spark, f"SELECT * FROM '{path}'").count() == 6
+    assert len(spark.catalog.listTables()) == before
+
+
 def test_csv_guard(spark):
     from quarrylake.operators.csvguard import guard
 

@@ -42,7 +42,7 @@ def test_query(spark, data, duck, name):
 
 
 def test_whole_full_join_keeps_every_row(spark, data):
-    got = QUERIES["join_full_whole"](spark, data)
+    got = QUERIES["join_full"](spark, data)
     for column, table in (("c_custkey", "customer"), ("o_orderkey", "orders")):
         assert got.select(column).where(f"{column} is not null").distinct().count() == spark.read.parquet(f"{data}/{table}.parquet").count()
     assert got.where("c_custkey is null").count() and got.where("o_orderkey is null").count()
