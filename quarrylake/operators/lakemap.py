@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import warnings
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -88,7 +89,10 @@ def _base(spark: SparkSession, folder: str) -> str:
 def create_map(spark: SparkSession, folder: str) -> str:
     """Inspects every data file and writes the map; its path."""
     base = _base(spark, folder)
-    return _save(spark, base, _entries(spark, base, discovery.data_files(spark, folder))[0])
+    entries, bad = _entries(spark, base, discovery.data_files(spark, folder))
+    if bad:
+        warnings.warn(f"not in the map, as they cannot be read: {', '.join(bad)}", stacklevel=2)
+    return _save(spark, base, entries)
 
 
 def load_map(spark: SparkSession, folder: str) -> list[dict]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, csvguard, discovery, docs, lake, lakemap, slicing
 from ..operators.rules import parse_rule
-from ..sources import readers
+from ..sources import files, readers, registry
 from . import relational, sqlgate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
@@ -269,17 +273,118 @@ _roundtrip("psv", lambda df, p: df.write.option("header", True).option("sep", "|
 _roundtrip("txt", lambda df, p: df.write.option("header", True).option("sep", ";").csv(p), "txt")
 
 
+def _roundtrip_lines(name: str, extension: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch(spark)
+        _flat(spark, sf_dir).coalesce(1).write.json(f"{folder}/stage")
+        made = next(c.path for c in files.children(spark, f"{folder}/stage") if c.path.rpartition("/")[2].startswith("part-"))
+        files.move(spark, made, f"{folder}/one.{extension}")
+        return readers.read_file(spark, f"{folder}/one.{extension}").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+    run.__name__ = f"roundtrip_{name}"
+    query(FLAT)(run)
+
+
+_roundtrip_lines("json", "ndjson")
+_roundtrip_lines("jsonl", "jsonl")
+
+
 @query(FLAT)
-def roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark)
-    lake_file = f"{folder}/one.ndjson"
-    stage = f"{folder}/stage"
-    _flat(spark, sf_dir).coalesce(1).write.json(stage)
-    from ..sources import files
-
-    made = next(c.path for c in files.children(spark, stage) if c.path.rpartition("/")[2].startswith("part-"))
-    files.move(spark, made, lake_file)
-    return readers.read_file(spark, lake_file).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+def roundtrip_own_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry.register_delimited("caret", "^")
+    path = f"{scratch(spark)}/t.caret"
+    _flat(spark, sf_dir).write.option("header", True).option("sep", "^").csv(path)
+    return readers.read_file(spark, path, typed=True).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+# --- lake operators on written folders ---------------------------------------------
+
+
+def _by_nation(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as a Hive folder, a file a nation."""
+    folder = f"{scratch(spark)}/lake"
+    table(spark, sf_dir, "customer").repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(folder)
+    return folder
+
+
+PASSENGERS = "l_linenumber between 1 and 5 and l_extendedprice >= 20000.0"
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> str:
+    folder = f"{scratch(spark)}/trips"
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("passenger"), F.col("l_extendedprice").alias("fare"), F.col("l_quantity").alias("distance"), "l_orderkey")
+    rows.withColumn("returned", F.col("l_orderkey") % 3).write.partitionBy("returned").parquet(folder)
+    return folder
+
+
+def _of_folder(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    return spark.read.parquet(folder).groupBy("returned").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("least"), F.sum("passenger").alias("passengers")).withColumn("side", F.lit(side))
+
+
+SIDE_SQL = "select (l_orderkey % 3)::int as returned, count(*)::bigint as n, min(l_orderkey) as least, sum(l_linenumber)::bigint as passengers, case when {0} then 'clean' else 'trash' end as side from lineitem {1} group by 1, 5"
+
+
+@query(SIDE_SQL.format(PASSENGERS, ""))
+def lake_clean_and_trash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _trips(spark, sf_dir)
+    lake.write_clean_and_trash(spark, folder, f"{folder}-clean", f"{folder}-trash", thresholds=STATIC)
+    return _of_folder(spark, f"{folder}-clean", "clean").unionByName(_of_folder(spark, f"{folder}-trash", "trash"))
+
+
+@query(SIDE_SQL.format(PASSENGERS, f"where {PASSENGERS}"))
+def lake_gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _trips(spark, sf_dir)
+    lake.write_gold(spark, folder, f"{folder}-gold", "1.0", thresholds=STATIC)
+    return _of_folder(spark, f"{folder}-gold", "clean")
+
+
+@query("select (row_index // 4000 + 1)::bigint as part, count(*)::bigint as n, min(row_index)::bigint as least, max(o_orderkey) as most from (select o_orderkey, row_number() over () - 1 as row_index from orders) group by 1")
+def lake_split_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/split"
+    lake.split_file(spark, f"{sf_dir}/orders.parquet", 4000, folder)
+    read = spark.read.parquet(f"{folder}/*.parquet").select("o_orderkey", F.regexp_extract("_metadata.file_path", r"_part_(\d+)\.", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row"))
+    return read.groupBy("part").agg(F.count("*").alias("n"), ((F.col("part") - 1) * 4000 + F.min("row")).alias("least"), F.max("o_orderkey").alias("most"))
+
+
+@query(FLAT)
+def lake_ingest_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/raw"
+    _flat(spark, sf_dir).write.option("header", True).csv(folder)
+    lake.ingest(spark, folder, f"{folder}-lake", normalize=True)
+    return spark.read.parquet(f"{folder}-lake").selectExpr("CAST(c_custkey AS BIGINT) AS c_custkey", "c_name", "CAST(c_nationkey AS BIGINT) AS c_nationkey", "CAST(c_acctbal AS DOUBLE) AS c_acctbal", "c_mktsegment")
+
+
+@query("select count(distinct case when c_nationkey >= 10 then c_nationkey end)::bigint as total_files, count(distinct case when c_nationkey < 10 then c_nationkey end)::bigint as pruned_dirs, count(case when c_nationkey >= 10 then 1 end)::bigint as total_rows, count(case when c_nationkey >= 10 and c_acctbal > 0 then 1 end)::bigint as clean_rows, count(case when c_nationkey >= 10 and not c_acctbal > 0 then 1 end)::bigint as trash_rows from customer")
+def filter_pruned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lake.filter_files(spark, _by_nation(spark, sf_dir), ["c_nationkey >= 10", "c_acctbal > 0"])
+    return spark.createDataFrame([tuple(found.values())], "total_files long, pruned_dirs long, total_rows long, clean_rows long, trash_rows long")
+
+
+@query("select * from (select 'healthy' as status, count(distinct c_nationkey)::bigint as n from customer where c_nationkey <> 0 union all select 'missing', count(distinct c_nationkey)::bigint from customer where c_nationkey = 0 union all select 'unindexed', 1::bigint union all select 'rows after healing', (select count(*) from customer where c_nationkey <> 0) + (select count(*) from nation))")
+def lake_doctor_heals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _by_nation(spark, sf_dir)
+    lakemap.create_map(spark, folder)
+    files.delete(spark, f"{folder}/c_nationkey=0")
+    lake.write_file(spark, table(spark, sf_dir, "nation"), f"{folder}/new.parquet")
+    report = lakemap.doctor(spark, folder, heal=True)
+    rows = [("healthy", report["healthy_files"]), *((s, len(report[f"{s}_files"])) for s in ("missing", "unindexed"))]
+    total = lakemap.totals(lakemap.map_frame(spark, folder)).select(F.lit("rows after healing").alias("status"), F.col("total_rows").alias("n"))
+    return spark.createDataFrame(rows, "status string, n long").union(total)
+
+
+@query("select c_mktsegment, count(*)::bigint as n from customer where c_acctbal > 0 group by 1")
+def sql_path_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlgate.query(spark, f"SELECT c_mktsegment, COUNT(*) AS n FROM '{_by_nation(spark, sf_dir)}' WHERE c_acctbal > 0 GROUP BY 1")
+
+
+@query("select time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01 00:00:00') as bin, count(*)::bigint as n from events group by 1")
+def sql_path_date_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlgate.query(spark, f"SELECT date_bin(INTERVAL '15' MINUTE, ts) AS bin, COUNT(*) AS n FROM '{sf_dir}/events.parquet' GROUP BY 1")
+
+
+@query("select c_custkey, len(string_split(c_name, '#'))::int as parts, len(range(3, c_nationkey::bigint + 1))::int as steps from customer")
+def sql_path_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlgate.query(spark, f"SELECT c_custkey, size(string_to_array(c_name, '#')) AS parts, size(generate_series(3, c_nationkey)) AS steps FROM '{sf_dir}/customer.parquet'")
 
 
 relational.register(query)
