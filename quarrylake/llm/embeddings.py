@@ -16,8 +16,8 @@ never their pairs. The driver gets the sample and the centroids, both bounded.
 
 Null vectors, zero vectors, vectors with null or non-finite components, and rows
 with a null id link with nothing: n_links 0, themselves their component, kept.
-Vectors of another length than the most common one in the sample do too. Repeated
-rows count as one vector of that id: their copies link with each other as any equal
+Vectors of different lengths link with nothing of each other; each length has cells of
+its own. Repeated rows count as one vector of that id: their copies link with each other as any equal
 vectors do. An empty table gives an empty result.
 """
 
@@ -89,22 +89,25 @@ def _keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key), F.col(vector).cast("array<double>")).mapInArrow(run, schema)
 
 
-def _assign(classes: DataFrame, centres: np.ndarray, margin: float) -> DataFrame:
-    """A row for each class and cell that it lives in (home) or probes."""
-    width = centres.shape[1]
+def _assign(classes: DataFrame, centres: dict[int, tuple[int, np.ndarray]], margin: float) -> DataFrame:
+    """A row for each class and cell that it lives in (home) or probes. ``centres`` has,
+    for each length of vectors, the number of its first cell and its centroids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = units(b["vector"].tolist())
-            near = x @ centres.T
-            home = near.argmax(axis=1)
-            probed = near >= near.max(axis=1, keepdims=True) - margin
-            row, cell = np.nonzero(probed)
-            cells = [np.flatnonzero(p).astype(np.int32) for p in probed]
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home[row].astype(np.int32), "id": b["id"].to_numpy()[row], "n": b["n"].to_numpy()[row], "cells": [cells[i] for i in row], "vector": [x[i] for i in row]})
-
-    wide = classes.where(F.size("vector") == width).select("id", "n", "vector")
-    return wide.mapInPandas(run, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("id", classes.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+        for batch in batches:
+            lengths = batch["vector"].map(len).to_numpy()
+            for width in np.unique(lengths):
+                b = batch[lengths == width]
+                first, own = centres[int(width)]
+                x = units(b["vector"].tolist())
+                near = x @ own.T
+                home = near.argmax(axis=1)
+                probed = near >= near.max(axis=1, keepdims=True) - margin
+                row, cell = np.nonzero(probed)
+                cells = [(first + np.flatnonzero(p)).astype(np.int32) for p in probed]
+                yield pd.DataFrame({"cell": (first + cell).astype(np.int32), "home": (first + home[row]).astype(np.int32), "id": b["id"].to_numpy()[row], "n": b["n"].to_numpy()[row], "cells": [cells[i] for i in row], "vector": [x[i] for i in row]})
+
+    return classes.select("id", "n", "vector").mapInPandas(run, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("id", classes.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -159,16 +162,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     keyed = common.materialize(_keyed(df, key, vector), "vectors")
     real = keyed.where("id is not null and node is not null")
     classes = common.materialize(real.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector")), "classes")
-    total = classes.count()
+    sizes = {r["width"]: r["count"] for r in classes.groupBy(F.size("vector").alias("width")).count().collect()}  # a row a length
     picked = [r["vector"] for r in common.seeded_sample(classes, "node", sample, seed).select("vector").collect()]
-    lengths = [len(v) for v in picked]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
-    centres = fit_centroids(units([v for v in picked if len(v) == width]), min(MAX_CELLS, total // CELL + 1), seed) if picked else np.zeros((1, 1))
+    centres: dict[int, tuple[int, np.ndarray]] = {}
+    cells = 0
+    for width, n in sorted(sizes.items()):
+        own = [v for v in picked if len(v) == width]  # a length that the sample lacks is one cell
+        centres[width] = cells, fit_centroids(units(own), min(MAX_CELLS, n // CELL + 1), seed) if own else np.zeros((1, width))
+        cells += len(centres[width][1])
     assigned = common.materialize(_assign(classes, centres, margin), "assigned")
     # Blocks: home members against all members of the cell, dealt out by hash.
     per_cell = assigned.groupBy("cell").agg(F.count("*").alias("all"), F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("own"))
     blocks = per_cell.select("cell", F.expr(f"(own + {BLOCK} - 1) div {BLOCK}").cast("int").alias("rows"), F.expr(f"(all + {BLOCK} - 1) div {BLOCK}").cast("int").alias("columns")).where("rows > 0")
-    dealt = assigned.join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
+    dealt = assigned.join(F.broadcast(blocks) if cells <= 8 * MAX_CELLS else blocks, "cell")
     place = F.xxhash64("id", F.lit(seed + 1))
     left = dealt.where("home = cell").withColumn("i", F.pmod(place, F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("side", F.lit(0))
     right = dealt.withColumn("j", F.pmod(place, F.col("columns")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1))

@@ -602,6 +602,12 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(6)] + [(10, [1.0, 0.0]), (11, [1.0, 0.01]), (12, [0.0, 1.0]), (20, [2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=7).collect()}
+    assert got == {**{i: (5, 0) for i in range(6)}, 10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (0, 20)}
+
+
 # --- lines -----------------------------------------------------------------------------------------------
 
 
