@@ -62,7 +62,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)  # read once or twice: speed over size
+    # Read once or twice and mostly hashes: speed over size, no dictionaries.
+    df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
