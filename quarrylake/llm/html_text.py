@@ -36,10 +36,13 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 #: Elements without content (fixed values).
 VOID_TAGS = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Elements whose content is no text of the page (fixed values).
-RAW_TAGS = frozenset("script style template noscript iframe object svg math textarea select title noembed noframes canvas audio video".split())
+RAW_TAGS = frozenset("script style template title textarea select".split())
 #: Those of them whose content no parser reads as elements: without an end tag they
 #: reach to the end of the page; of others only the tag is skipped (fixed values).
-TEXT_ONLY_TAGS = frozenset("script style textarea title iframe noembed noframes".split())
+TEXT_ONLY_TAGS = frozenset("script style textarea title".split())
+#: Elements of other languages, in which a tag that ends in a slash has no content
+#: (fixed values).
+FOREIGN_TAGS = frozenset("svg math".split())
 #: Elements that end at the start of the ones named (fixed values).
 ENDED_BY: dict[str, frozenset[str]] = {
     "p": BLOCK_TAGS - frozenset("body head html caption tbody td tfoot th thead tr option optgroup legend title".split()),
@@ -66,6 +69,7 @@ class Block:
     linked: float
     tags: tuple[str, ...]
     names: frozenset[str]
+    hidden: bool = False
 
 
 @dataclass
@@ -87,7 +91,8 @@ def is_hidden(attributes: str) -> bool:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order, without scripts, styles and the like."""
+    """The page's leaf blocks in order, without scripts, styles, titles, templates and
+    form controls. All else is text; the field decides, by tags and by what is hidden."""
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
@@ -99,12 +104,12 @@ def blocks_of(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 in_links = len("".join(html.unescape("".join(linked)).split()))
-                out.append(Block(text, min(1.0, in_links / max(1, len(text.replace(" ", "")))), tuple(x.tag for x in stack), frozenset().union(*(x.names for x in stack))))
+                out.append(Block(text, min(1.0, in_links / max(1, len(text.replace(" ", "")))), tuple(x.tag for x in stack), frozenset().union(*(x.names for x in stack)), any(x.hidden for x in stack)))
             parts.clear()
             linked.clear()
 
     def take(text: str) -> None:
-        if text and not any(x.hidden for x in stack):
+        if text:
             parts.append(text)
             if any(x.tag == "a" for x in stack):
                 linked.append(text)
@@ -125,7 +130,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     pass
             continue
         if tag in RAW_TAGS:
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS and not any(x.tag in FOREIGN_TAGS for x in stack):
                 cut()
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -137,6 +142,8 @@ def blocks_of(page: str | None) -> list[Block]:
                     endless.add(tag)
             parts.append(" ") if parts else None
             continue
+        if m[3].endswith("/") and (tag in FOREIGN_TAGS or any(x.tag in FOREIGN_TAGS for x in stack)):
+            continue
         if tag in BLOCK_TAGS:
             cut()
         while stack and tag in ENDED_BY.get(stack[-1].tag, ()):
@@ -168,6 +175,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
             own.append("sentence")
         if re.match(r"(?:©|\(c\)|copyright\b)", b.text, re.I):
             own.append("copyright")
+        if b.hidden:
+            own.append("hidden")
         if i == 0:
             own.append("first")
         if i == len(blocks) - 1:
@@ -290,6 +299,8 @@ def labelled_pages(count: int, seed: int = 5) -> list[tuple[str, list[str]]]:
 
     def box(tag: str, kind: str, body: str) -> str:
         names = " ".join(rng.sample(SIDE_NAMES[kind], k=rng.randint(1, 2)))
+        if rng.random() < 0.08:
+            return f'<{tag} {rng.choice(["hidden", "style=display:none", "aria-hidden=true"])} class="{names}">{body}</{tag}>'
         return f'<{tag} class="{names}">{body}</{tag}>' if rng.random() < 0.75 else f'<{tag} id="{names.split()[0]}">{body}</{tag}>' if rng.random() < 0.5 or tag in ("div", "section") else f"<{tag}>{body}</{tag}>"
 
     def links() -> str:

@@ -393,14 +393,26 @@ def test_extraction_of_odd_pages(spark):
 
 def test_tags_and_words_that_hide_nothing():
     text = lambda page: [b.text for b in html_text.blocks_of(page)]
-    for tag in "select object video audio canvas svg math template noscript".split():
+    for tag in "select object video audio canvas svg math template noscript iframe noembed".split():
         assert text(f"<p>one</p><{tag} id=x><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"], tag
+    for tag in "select textarea script style template".split():
         assert text(f"<p>one</p><{tag}>x</{tag}><p>two</p>") == ["one", "two"], tag
+    for tag in "object video audio canvas svg math noscript iframe noembed noframes".split():
+        assert text(f"<p>one <{tag}>x</{tag}> two</p>") == ["one x two"], tag
+    assert text("<p>a <svg><title>x</title><path d='m'/></svg> b<svg/> c</p><p>d</p>") == ["a b c", "d"]
+    assert html_text.blocks_of("<svg><g/></svg><p>d</p>")[0].tags == ("p",)
     assert text("<p>one</p><script>two<p>three</p>") == ["one"]
     for kept in ('title="The hidden gems of Rome"', 'class="note hidden md:block"', "data-x='a hidden b'", 'title="display: none"', 'aria-hidden="false"'):
-        assert text(f"<p {kept}>one</p>") == ["one"], kept
+        assert not html_text.blocks_of(f"<p {kept}>one</p>")[0].hidden, kept
     for gone in ("hidden", 'class="a" hidden', "hidden=until-found", 'aria-hidden="true"', "aria-hidden=true", 'style="color: red; display : none"'):
-        assert text(f"<p {gone}>one</p><p>two</p>") == ["two"], gone
+        assert [b.hidden for b in html_text.blocks_of(f"<p {gone}>one</p><p>two</p>")] == [True, False], gone
+    model = html_text.trained()
+    page = "<nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>First words stand here.</p>{}<p>Last words stand here.</p></article><footer>end</footer>"
+    for tag in "math svg noscript object canvas iframe".split():
+        assert html_text.main_text(page.format(f"<p>The <{tag}>inner words</{tag}> stay.</p>"), model) == "Title of it\nFirst words stand here.\nThe inner words stay.\nLast words stand here.", tag
+        assert html_text.main_text(page.format(f"<{tag}><p>The inner words stay.</p></{tag}>"), model).count("The inner words stay.") == 1, tag
+    for attribute in ("hidden", "aria-hidden=true", "style='display:none'"):
+        assert "banner" not in html_text.main_text(page.format(f"<div {attribute} class=notice>The banner words.</div>"), model)
 
 
 def test_viterbi_and_marginals_against_enumeration():
