@@ -8,6 +8,10 @@ by gradient ascent of the conditional log-likelihood on labelled pages. As the t
 hold no labelled pages, ``labelled_pages`` writes them: layouts of many kinds, filled
 with invented words, whose main blocks are known (their number is a parameter).
 
+Scripts, styles, templates, titles and form controls are no text. All else is, also
+inside ``math``, ``svg``, ``noscript``, ``object``, ``canvas``, ``iframe`` and hidden
+elements: tags and being hidden are features, the field decides.
+
 Scale: one Arrow map, no shuffle; the weights (some hundred numbers) travel with the
 task. Whole pages are read, nothing is dropped or capped.
 

@@ -39,11 +39,25 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl2-work": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2"),
     "gpl-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
     "gpl-nowarranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    "gpl-terms": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+    "gpl2-terms": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",),
+    "lgpl-terms": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "lgpl3-terms": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "agpl3-terms": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "later-2": ("either version 2 of the License, or (at your option) any later version",),
+    "later-2.1": ("either version 2.1 of the License, or (at your option) any later version",),
+    "later-3": ("either version 3 of the License, or (at your option) any later version",),
     "lgpl-work": ("Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License, version 2.1"),
     "mpl2": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"),
     "bsd-grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
     "bsd-binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
+    "bsd-endorse": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "0bsd-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "unlicense": ("This is free and unencumbered software released into the public domain",),
+    "epl2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https:", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http:"),
     "cc-by": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -65,11 +79,24 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-release",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-nowarranty")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-3.0-or-later", ("gpl-terms", "later-3")),
+    ("GPL-2.0-or-later", ("gpl-terms", "later-2")),
+    ("GPL-2.0-only", ("gpl2-terms",)),
+    ("AGPL-3.0-or-later", ("agpl3-terms",)),
+    ("LGPL-3.0-or-later", ("lgpl3-terms",)),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "later-3")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "later-2.1")),
     ("GPL-3.0-only", ("gpl3-work",)),
     ("GPL-2.0-only", ("gpl2-work",)),
     ("LGPL", ("lgpl-work",)),
     ("MPL-2.0", ("mpl2",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl2",)),
+    ("Unlicense", ("unlicense",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("CC-BY-4.0", ("cc-by",)),
@@ -80,6 +107,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: Each known sentence holds one of these, in any case (fixed values).
 ANCHORS = ("licen", "rights reserved", "copyright", "permission", "warrant", "redistribut", "public domain", "compliance with")
 
+#: Words that start an address (fixed values).
+ADDRESS = ("http", "https")
+
 #: What ends a sentence, and a line break that only wraps one.
 WRAP, END = r"\n[ \t]*([a-z])", r"[.!?;]+([\x20\x09-\x0D]|\z)|[:\n\r]+"
 
@@ -109,6 +139,8 @@ def inner_break() -> str:
     before: dict[str, set[str]] = {}
     for words in cut:
         for one, two in zip(words, words[1:]):
+            if two in ADDRESS:  # one on a line of its own belongs to no sentence
+                continue
             before.setdefault(two, set()).add(one)
     ways = []
     for two, ones in sorted(before.items()):

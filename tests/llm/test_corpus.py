@@ -245,17 +245,74 @@ GNU General Public License for more details.
 """
 
 
+GPL2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful.
+"""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+ZERO = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+FREE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute.
+"""
+
+
 def test_whole_wrapped_licence_texts(spark):
     want = [("Apache-2.0", APACHE, "apache2-grant,apache2-use,apache2-copy,apache2-asis"), ("MIT", MIT, "mit-grant,mit-notice"), ("GPL-3.0-or-later", GPL, "gpl-free,gpl-nowarranty,gpl-nowarranty")]
+    want += [("GPL-2.0-or-later", GPL2, "gpl-terms,later-2,gpl-nowarranty,gpl-nowarranty"), ("LGPL-2.1-or-later", LGPL, "lgpl-terms,later-2.1"), ("AGPL-3.0-or-later", AGPL, "agpl3-terms,gpl-nowarranty,gpl-nowarranty")]
+    want += [("BSD-2-Clause", BSD2, "bsd-grant,bsd-source,bsd-binary"), ("BSD-3-Clause", BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-endorse"), ("ISC", ISC, "isc-grant"), ("0BSD", ZERO, "0bsd-grant")]
+    want += [("Zlib", ZLIB, "zlib-grant"), ("MPL-2.0", MPL, "mpl2"), ("EPL-2.0", EPL, "epl2"), ("Unlicense", FREE, "unlicense")]
     marked = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
     forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: marked(t, "#"), lambda t: marked(t, " *"), lambda t: marked(t, "//").replace("\n", "\r\n")]
     rows = [(i * 10 + j, f(t)) for i, (_, t, _) in enumerate(want) for j, f in enumerate(forms)]
-    rows += [(90, "Our work is\nLicensed under CC BY 4.0.\nNot more\nAll rights reserved"), (91, "* some words\n* licensed under CC0 1.0")]
+    rows += [(990, "Our work is\nLicensed under CC BY 4.0.\nNot more\nAll rights reserved"), (991, "* some words\n* licensed under CC0 1.0")]
     got = {r["doc_id"]: (r["licence"], r["sentence_ids"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (licence, _, ids) in enumerate(want):
         for j in range(len(forms)):
             assert got[i * 10 + j] == (licence, ids), (licence, j)
-    assert got[90] == ("CC-BY-4.0", "cc-by,all-rights") and got[91] == ("CC0-1.0", "cc0")
+    assert got[990] == ("CC-BY-4.0", "cc-by,all-rights") and got[991] == ("CC0-1.0", "cc0")
 
 
 # --- media ------------------------------------------------------------------------------
