@@ -48,6 +48,15 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "win_groups_rewrite": ("SELECT event_id, SUM(c) OVER (PARTITION BY user_id ORDER BY day_no RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, user_id, DENSE_RANK() OVER (PARTITION BY user_id ORDER BY event_type) AS day_no, 1 AS c FROM {events})", "SELECT event_id, CAST(COUNT(*) OVER (PARTITION BY user_id ORDER BY event_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM {events}"),
     "win_ntile": "SELECT s_suppkey, NTILE(7) OVER (ORDER BY s_acctbal, s_suppkey) AS t FROM {supplier}",
     "qualify_rewrite": ("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM {orders}) WHERE n = 1", "SELECT o_custkey, o_orderkey FROM {orders} QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"),
+    "qualify": "SELECT o_custkey, o_orderkey FROM {orders} QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
+    "qualify_alias": "SELECT o_custkey, o_orderkey, RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders} WHERE o_totalprice > 1000 QUALIFY place <= 20 ORDER BY o_totalprice DESC, 2 LIMIT 50",
+    "qualify_groups": "SELECT c.c_nationkey, COUNT(*) AS n FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey GROUP BY c.c_nationkey QUALIFY RANK() OVER (ORDER BY COUNT(*) DESC) <= 5",
+    "distinct_on": "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM {customer} ORDER BY c_nationkey, c_acctbal DESC, c_custkey",
+    "distinct_on_cte": "WITH t AS (SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderstatus, o_orderkey FROM {orders} ORDER BY o_custkey, o_orderstatus, o_totalprice, o_orderkey) SELECT o_orderstatus, COUNT(*) AS n, MAX(o_orderkey) AS top FROM t GROUP BY o_orderstatus",
+    "join_natural": "SELECT n_name, n_regionkey, total FROM {nation} NATURAL JOIN (SELECT s_nationkey AS n_nationkey, COUNT(*) AS total FROM {supplier} GROUP BY s_nationkey) t",
+    "join_anti_rows": "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
+    "set_except_rows": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000",
+    "set_intersect_all": "SELECT o_orderpriority AS k FROM {orders} WHERE o_totalprice > 100000 INTERSECT ALL SELECT o_orderpriority FROM {orders} WHERE o_totalprice <= 150000",
     "distinct_on_rewrite": ("SELECT c_nationkey, MIN_BY(c_custkey, STRUCT(-c_acctbal, c_custkey)) AS c_custkey FROM {customer} GROUP BY c_nationkey", "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM {customer} ORDER BY c_nationkey, c_acctbal DESC, c_custkey"),
     "sort_nulls_last": "SELECT place, k FROM (SELECT ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) ASC NULLS LAST, n_nationkey) AS place, NULLIF(n_regionkey, 2) AS k FROM {nation}) t ORDER BY k DESC NULLS LAST, place",
     "topk_orders": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",

@@ -23,6 +23,7 @@ from ..functions.dialect import RENAMED
 from ..operators import discovery
 from ..session import settings
 from ..sources import files, readers
+from .rewrite import rewritten
 
 TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|`(?:[^`]|``)*`|[A-Za-z_][\w$]*)|(?P<other>.)""",
@@ -107,11 +108,11 @@ def query(spark: SparkSession, text: str) -> DataFrame:
         bound, views = bind(spark, text)
         try:
             with settings(spark, spark__sql__ansi__doubleQuotedIdentifiers="true"):
-                return spark.sql(bound.rstrip().rstrip(";"))
+                return spark.sql(rewritten(bound.rstrip().rstrip(";"), tokens))
         finally:  # the plan holds what the views named
             for view in views:
                 spark.catalog.dropTempView(view)
-    except (PySparkException, LakeError) as e:
+    except (PySparkException, LakeError, ValueError) as e:
         raise QueryError(str(e)) from e
 
 
