@@ -156,6 +156,23 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, sizes:
     return {"h": h, "t": t, "g": g, "att": att, "z": z, "score": _sigmoid(z @ p["c"] + p["b"])}
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the mean cross-entropy of document labels."""
+    f = _forward(p, x, starts, sizes)
+    dz_out = (f["score"] - labels) / len(labels)
+    grad = {"c": f["z"].T @ dz_out, "b": np.array([dz_out.sum()])}
+    dz = np.repeat(dz_out[:, None] * p["c"], sizes, axis=0)
+    datt = (dz * f["h"]).sum(axis=1)
+    de = f["att"] * (datt - np.repeat(np.add.reduceat(f["att"] * datt, starts), sizes))
+    grad["w"] = (f["t"] * f["g"]).T @ de
+    dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+    dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+    grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
+    dh = (dz * f["att"][:, None] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+    grad["W"], grad["a"] = x.T @ dh, dh.sum(axis=0)
+    return grad
+
+
 def train(x: np.ndarray, passages: np.ndarray, labels: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 100, rate: float = 0.03, decay: float = 1e-4, seed: int = SEED) -> Model:
     """Adam on the cross-entropy of document labels, all bags in every step."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -166,18 +183,7 @@ def train(x: np.ndarray, passages: np.ndarray, labels: np.ndarray, hidden: int =
     p = {k: (rng.normal(0, s[0] ** -0.5, s) if k not in "ab" else np.zeros(s)) for k, s in shape.items()}
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     for step in range(1, rounds + 1):
-        f = _forward(p, x, starts, passages)
-        dz_out = (f["score"] - labels) / len(labels)
-        grad = {"c": f["z"].T @ dz_out, "b": np.array([dz_out.sum()])}
-        dz = np.repeat(dz_out[:, None] * p["c"], passages, axis=0)
-        datt = (dz * f["h"]).sum(axis=1)
-        de = f["att"] * (datt - np.repeat(np.add.reduceat(f["att"] * datt, starts), passages))
-        grad["w"] = (f["t"] * f["g"]).T @ de
-        dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-        dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-        grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
-        dh = (dz * f["att"][:, None] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-        grad["W"], grad["a"] = x.T @ dh, dh.sum(axis=0)
+        grad = gradients(p, x, starts, passages, labels)
         for k, d in grad.items():
             d = d + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * d

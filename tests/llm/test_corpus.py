@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -109,6 +110,27 @@ def test_index_runs_only_rules_that_share_a_token():
     assert url_filter.index_rules(rules, {"example": 5, "en": 9, "com": 99})["example"]
 
 
+def test_thousands_of_rules_judge_as_all_of_them_run():
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefg01", k=rng.randint(1, 3))) for _ in range(60)]
+    host = lambda: ".".join(rng.choices(words, k=rng.randint(1, 3)))
+    path = lambda: "/" + "/".join(rng.choices(words, k=rng.randint(0, 3)))
+    bit = lambda: rng.choice([*words, "*", "^", "/", ".", "-", "_", "%"])
+    action = lambda: rng.choice(["allow", "block"])
+    hosts = [(action(), host() + path()) for _ in range(1500)]
+    patterns = [(rng.choices(["allow", "block"], [1, 60])[0], rng.choice(["||", "", "", "/"]) + rng.choice(words) + "".join(bit() for _ in range(rng.randint(2, 6)))) for _ in range(2500)]
+    urls = [f"http{rng.choice(['', 's'])}://{host()}{path()}{rng.choice(['', '/', '?q=' + rng.choice(words), '#x', '.html', 'a', 'é'])}" for _ in range(150)]
+    for rules in (url_filter.compile_rules(hosts, patterns), url_filter.compile_rules((), patterns)):
+        counts: dict[str, int] = {}
+        for u in urls:
+            for t in set(re.findall("[a-z0-9]+", u)):
+                counts[t] = counts.get(t, 0) + 1
+        judge, brute = (url_filter.Judge(x) for x in (url_filter.index_rules(rules, counts), {None: rules}))
+        got = [judge(u) for u in urls]
+        assert got == [brute(u) for u in urls]
+        assert {g[3] for g in got} == {"allow", "block"}
+
+
 # --- mixing ----------------------------------------------------------------------
 
 
@@ -637,6 +659,32 @@ def test_gradients():
     assert np.abs(model.bags(x, sizes) - y).max() < 0.1
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(18)
+    x, sizes, y = rng.normal(size=(9, 5)), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0])
+    starts = np.cumsum(sizes) - sizes
+    p = {k: rng.normal(size=s) for k, s in {"W": (5, 3), "a": (3,), "v": (3, 2), "u": (3, 2), "w": (2,), "c": (3,), "b": (1,)}.items()}
+
+    def loss():  # written anew, a document at a time
+        total = 0.0
+        for at, n, label in zip(starts, sizes, y, strict=True):
+            h = np.tanh(x[at : at + n] @ p["W"] + p["a"])
+            e = np.exp((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["w"])
+            score = 1 / (1 + np.exp(-((e / e.sum()) @ h @ p["c"] + p["b"][0])))
+            total -= label * np.log(score) + (1 - label) * np.log(1 - score)
+        return total / len(y)
+
+    for name, slope in quality.gradients(p, x, starts, sizes, y).items():
+        for at in np.ndindex(p[name].shape):
+            kept = p[name][at]
+            ways = []
+            for step in (1e-6, -1e-6):
+                p[name][at] = kept + step
+                ways.append(loss())
+            p[name][at] = kept
+            assert slope[at] == pytest.approx((ways[0] - ways[1]) / 2e-6, abs=1e-7), (name, at)
+
+
 # --- embeddings ---------------------------------------------------------------------------------------
 
 
