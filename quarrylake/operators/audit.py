@@ -19,6 +19,10 @@ from .rules import Rule, parse_rules, violation
 CLEAN, CODE, VIOLATED = "__clean", "audit_error_code", "audit_violated_rules"
 #: Rules whose violations fit the code; more add the list of violated rules.
 CODE_BITS = 64
+#: Rules from which on one generated method may be too large for the JVM's compiler.
+LONG_LIST = 16
+#: The session's limit on generated methods, Spark's default, and the JVM's own limit.
+METHOD_LIMIT, SPARKS_LIMIT, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", "65535", 8000
 
 
 @dataclass(frozen=True)
@@ -55,16 +59,27 @@ def flag_static(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:  # no
     return df.withColumn(CODE, code.cast("long")).withColumn(CLEAN, F.col(CODE) == 0)
 
 
+def split_large_methods(df: DataFrame) -> None:
+    """Lets Spark split generated methods that are too large for the JVM to compile,
+    where the session has no limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(METHOD_LIMIT, SPARKS_LIMIT) == SPARKS_LIMIT:
+        conf.set(METHOD_LIMIT, COMPILED_BYTES)
+
+
 def flag_rules(df: DataFrame, rules: Sequence[str | Rule], strict: bool = False) -> DataFrame:
     """Bit i of the code for rule i of the first 64; over 64 rules also the list of
     all violated ones. Clean is decided by the violations, not by the code."""
     found = [(i, v) for i, r in enumerate(parse_rules(rules)) if (v := violation(r, df.schema, strict)) is not None]
+    if len(found) > LONG_LIST:
+        split_large_methods(df)
     bits = [F.when(v, F.lit(_bit(i))).otherwise(F.lit(0)).cast("long") for i, v in found if i < CODE_BITS]
     code = reduce(Column.bitwiseOR, bits) if bits else F.lit(0).cast("long")
     out = df.withColumn(CODE, code)
     if len(rules) > CODE_BITS:
-        ids = F.array(*(F.when(v, F.lit(i)) for i, v in found)) if found else F.array().cast("array<int>")
-        out = out.withColumn(VIOLATED, F.filter(ids, lambda x: x.isNotNull()))
+        # Arrays of one or none, joined: a filter over one array would run interpreted.
+        none = F.array().cast("array<int>")
+        out = out.withColumn(VIOLATED, F.concat(none, *(F.when(v, F.array(F.lit(i))).otherwise(none) for i, v in found)))
         # Not read off the list: counts and splits then never build it.
         broken = reduce(Column.__or__, (v for _, v in found)) if found else F.lit(False)
         return out.withColumn(CLEAN, ~F.coalesce(broken, F.lit(False)))
