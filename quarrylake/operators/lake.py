@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,9 +144,27 @@ def split_file(spark: SparkSession, path: str, rows: int, folder: str, kind: str
     return len(parts)
 
 
+def _alike(spark: SparkSession, paths: Sequence[str], base: str) -> dict[str, DataFrame]:
+    """The files' rows. Files of one table (folder without its ``key=value`` levels,
+    format, column names) whose inferred types differ, as those of a part without rows
+    do, are all read with the types that their rows have together."""
+    frames = dict(zip(paths, _each(lambda p: readers.read_file(spark, p), paths), strict=True))
+    tables: dict[tuple, list[str]] = {}
+    for p, df in frames.items():
+        f = readers.format_of(p, spark)
+        if f.kind in ("delimited", "json") and df.columns:
+            folder = tuple(takewhile(lambda level: "=" not in level, relative(p, base).split("/")[:-1]))
+            tables.setdefault((folder, f, tuple(df.columns)), []).append(p)
+    for (_, f, _), own in tables.items():
+        if len({frames[p].schema.json() for p in own}) > 1:
+            schema = readers.read_group(spark, own, f).schema
+            frames |= {p: readers.read_group(spark, [p], f, schema=schema) for p in own}
+    return frames
+
+
 def ingest(spark: SparkSession, source: str, target: str, normalize: bool = False) -> tuple[int, int]:
-    """Copies a lake; with ``normalize`` row formats become Parquet. (files, rows);
-    copied files count no rows."""
+    """Copies a lake; with ``normalize`` row formats become Parquet, files of one table
+    with the same types. (files, rows); copied files count no rows."""
     base = _inside(spark, source)
     paths = discovery.data_files(spark, source)
     names: dict[str, str] = {}
@@ -157,13 +176,14 @@ def ingest(spark: SparkSession, source: str, target: str, normalize: bool = Fals
             name = stem if stem not in taken else name + ".parquet"
             taken.add(name)
         names[p] = name
+    frames = _alike(spark, [p for p in paths if normalize and registry.extension(p) in ROW_FORMATS], base)
 
     def one(path: str) -> int:
         goal = f"{target}/{names[path]}"
-        if not (normalize and registry.extension(path) in ROW_FORMATS):
+        if path not in frames:
             files.copy(spark, path, goal)
             return 0
-        df = readers.read_file(spark, path)
+        df = frames[path]
         if not df.columns:
             return 0
         write_file(spark, df, goal)

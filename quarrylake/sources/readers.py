@@ -36,8 +36,10 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast("long").alias(f.name) if isinstance(f.dataType, T.IntegerType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def _delimited(spark: SparkSession, paths: list[str], f: Format, typed: bool) -> DataFrame:
+def _delimited(spark: SparkSession, paths: list[str], f: Format, typed: bool, known: T.StructType | None = None) -> DataFrame:
     read = spark.read.option("sep", f.delimiter).option("header", f.header).option("quote", '"').option("escape", '"')
+    if known:
+        return read.schema(known).csv(paths)
     if f.text and not typed:
         probe = read.csv(paths[0])  # names only; no pass over the data
         names = [c if f.header else f"column_{i + 1}" for i, c in enumerate(probe.columns)]
@@ -57,11 +59,11 @@ def _lines_hold_json(first: bytes) -> bool:
         return not line or (not first.lstrip().startswith(b"[") and b"\n" not in first)
 
 
-def _json(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _json(spark: SparkSession, paths: list[str], known: T.StructType | None = None) -> DataFrame:
     by = {True: [], False: []}
     for p in paths:
         by[_lines_hold_json(files.head(spark, p, 1 << 16))].append(p)
-    parts = [spark.read.option("multiLine", not lines).json(own) for lines, own in by.items() if own]
+    parts = [spark.read.option("multiLine", not lines).json(own, schema=known) for lines, own in by.items() if own]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -107,9 +109,10 @@ def _batch(rows: list[dict], want: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(f) for f in want], schema=want)
 
 
-def read_group(spark: SparkSession, paths: Sequence[str], f: Format, typed: bool = False) -> DataFrame:
+def read_group(spark: SparkSession, paths: Sequence[str], f: Format, typed: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """Files of one format and schema as one DataFrame. ``typed``: also formats whose
-    columns are strings by contract get inferred types, as SQL over paths has them."""
+    columns are strings by contract get inferred types, as SQL over paths has them.
+    ``schema``: known types of delimited files and JSON, in place of inferred ones."""
     paths = list(paths)
     if f.kind == "own":
         return f.reader(spark, paths)
@@ -121,9 +124,9 @@ def read_group(spark: SparkSession, paths: Sequence[str], f: Format, typed: bool
         _hinted.add(f.kind)
         warnings.warn(f"{f.kind} files are read slower than Parquet; consider lake.ingest(auto_normalize=True)", stacklevel=2)
     if f.kind == "delimited":
-        return _delimited(spark, paths, f, typed)
+        return _delimited(spark, paths, f, typed, schema)
     if f.kind == "json":
-        return _json(spark, paths)
+        return _json(spark, paths, schema)
     return _decoded(spark, paths, f.kind)
 
 

@@ -334,6 +334,24 @@ def test_ingest(spark, engine, tmp_path, monkeypatch):
     assert engine.ingest(str(src), str(tmp_path / "norm2")) == (3, 12)
 
 
+def test_ingest_gives_files_of_a_table_the_same_types(spark, engine, tmp_path):
+    src, goal = tmp_path / "src", tmp_path / "lake"
+    for folder in ("t/day=1", "t/day=2", "u", "j"):
+        (src / folder).mkdir(parents=True)
+    fx.delimited(src / "t/day=1/a.csv", ",", [], ("k", "v"))  # a header, no rows
+    fx.delimited(src / "t/day=1/b.csv", ",", [(1, 2), (3, 4)], ("k", "v"))
+    fx.delimited(src / "t/day=2/c.csv", ",", [(5, 0.5)], ("k", "v"))
+    fx.delimited(src / "u/d.csv", ",", [("x", "y")], ("k", "v"))
+    (src / "j/e.json").write_text('{"k": null}\n')
+    (src / "j/f.json").write_text('{"k": 7}\n')
+    assert engine.ingest(str(src), str(goal), True) == (6, 6)
+    got = spark.read.parquet(str(goal / "t"))
+    assert [got.schema[c].dataType.simpleString() for c in "kv"] == ["bigint", "double"]
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, 2.0), (3, 4.0), (5, 0.5)]
+    assert spark.read.parquet(str(goal / "u")).schema["k"].dataType.simpleString() == "string"
+    assert {r.k for r in spark.read.parquet(str(goal / "j")).collect()} == {None, 7}
+
+
 def test_map_and_doctor(spark, engine, tmp_path):
     lake = _lake(tmp_path)
     assert engine.doctor(str(lake))["status"] == "DRIFT_DETECTED"
