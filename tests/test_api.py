@@ -8,7 +8,7 @@ import pytest
 import fixtures as fx
 from quarrylake import api
 from quarrylake.errors import QueryError, RuleError, UnsupportedFormat
-from quarrylake.operators import discovery, lakemap
+from quarrylake.operators import discovery, lake, lakemap
 from quarrylake.operators.rules import parse_rule
 from quarrylake.sources import readers, registry
 
@@ -118,6 +118,20 @@ def test_preview(spark, engine, tmp_path):
     assert (clean.num_rows, trash.num_rows) == (1, 1)
 
 
+def test_first_rows_of_a_folder(spark, engine, tmp_path):
+    for i, n in enumerate((3, 50_000, 4)):  # Spark reads the largest file first
+        for kind in ("parquet", "orc", "csv"):
+            rows = spark.range(1_000_000 * i, 1_000_000 * i + n, numPartitions=1).selectExpr("int(id) as passenger_count", "1.0D as fare_amount", "1.0D as trip_distance")
+            lake.write_file(spark, rows, f"{tmp_path}/t.{kind}/{i}.{kind}", kind) if kind != "orc" else rows.coalesce(1).write.mode("append").orc(f"{tmp_path}/t.orc/{i}")
+    numbers = lambda *sides: sorted(x for t in sides for x in t.column("passenger_count").to_pylist())
+    for kind in ("parquet", "orc", "csv"):
+        assert numbers(*engine.preview_sample(f"{tmp_path}/t.{kind}", 5)) == [0, 1, 2, 1_000_000, 1_000_001], kind
+    path = f"{tmp_path}/t.parquet"
+    assert engine.slice_rows(path, 2, 3).column("passenger_count").to_pylist() == [2, 1_000_000, 1_000_001]
+    assert engine.slice_rows(path, 50_002, 9).column("passenger_count").to_pylist() == [1_049_999, 2_000_000, 2_000_001, 2_000_002, 2_000_003]
+    assert engine.slice_rows(path, 50_007, 9).num_rows == engine.slice_rows(path, 1, 0).num_rows == 0
+
+
 def test_avro_codecs_and_nullable(spark, tmp_path):
     rows = [*fx.DICTS, dict.fromkeys(fx.NAMES)]
     for codec in ("null", "deflate"):
