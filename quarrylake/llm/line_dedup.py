@@ -22,7 +22,7 @@ their blocks are pairs of lead words instead, which lose no link: lines of n and
 similarity 0.8 share 0.4 (n + m) words, so two of any order's first
 n - ceil(2 n / 3) + 2. For longer lines tests measure the recall at the very limit,
 against pairs chosen by edit similarity alone (over 0.9; nearly 1 from 0.9 on). Rarities
-are those of a bounded sample; they decide which blocks there are, nothing else. Of the
+are counted over all lines of the table, by buckets of word hashes. Of the
 pairs that share a block, those whose sizes or word parities (256 bits) differ too much
 for a link are left out inside the join.
 
@@ -56,10 +56,9 @@ from . import common, links
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-#: Documents and words of the sample that tells rare words.
-SAMPLE, RANKED, SEED = 4_000, 200_000, 23
-#: Buckets of word hashes that rarities are kept for.
-BUCKETS = 1 << 20
+#: Buckets of word hashes that rarities are kept for, and the bits of information beyond
+#: which words are as rare as any.
+BUCKETS, RAREST = 1 << 20, 15
 #: Blocks posted of a line.
 POSTED = 10
 #: Bits of a line's number in a slice and of a block's place, and halvings of blocks
@@ -109,9 +108,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_words(texts: list[bytes], both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the lines that hold a word, in order: text, number in the text, and words;
-    then two independent 64-bit hashes of every word, from its bytes, eight at a time."""
+    then two independent 64-bit hashes of every word, from its bytes, eight at a time;
+    unless ``both`` the second one is left out."""
     raw = np.frombuffer(b"\n".join(texts).lower() + b"\n" + bytes(8), np.uint8)
     size = len(raw) - 8
     blank = BLANK[raw[:size]]
@@ -128,7 +128,8 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     while len(at):
         chunk = eights[at] & KEPT[np.minimum(left, 8)]
         one[own] = mixed(one[own] ^ chunk)
-        two[own] = mixed((two[own] ^ chunk) * MIX[2] + MIX[1])
+        if both:
+            two[own] = mixed((two[own] ^ chunk) * MIX[2] + MIX[1])
         more = np.flatnonzero(left > 8)
         own = more if isinstance(own, slice) else own[more]
         at, left = at[more] + 8, left[more] - 8
@@ -300,13 +301,12 @@ def turn(words: np.ndarray, by: int) -> np.ndarray:
 
 class Rarity:
     """Rarities of words, and of lines: logarithms of 1 / share of lines, by buckets of
-    hashes. Words that a bounded sample does not have twice are as rare as any."""
+    hashes, from the number of lines that hold a word of the bucket."""
 
-    def __init__(self, words: np.ndarray, lines: np.ndarray, sampled: int, total: float):
-        held = np.ones(BUCKETS)
-        np.maximum.at(held, self.bucket(words), lines)
-        self.rarity = np.log2(max(sampled, 2) / np.minimum(held, max(sampled, 2))).astype(np.float32)
-        self.line = float(np.log2(max(total, 2)))
+    def __init__(self, held: np.ndarray, lines: int):
+        lines = max(lines, 2)
+        self.rarity = np.minimum(np.log2(lines / np.clip(held, 1, lines)), RAREST).astype(np.float32)
+        self.line = float(np.log2(lines))
 
     @staticmethod
     def bucket(words: np.ndarray) -> np.ndarray:
@@ -318,27 +318,25 @@ class Rarity:
 
 
 def word_rarity(df: DataFrame, text: str) -> Rarity:
-    """Rarities from a bounded, seeded sample of the table's rows."""
-    total = max(df.count(), 1)
-    share = min(1.0, SAMPLE / total)
-    sample = df.select(F.col(text).cast("string")).sample(share, SEED)
+    """Rarities from all lines of the table; a row per bucket reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for group in pieces(batch.column(0), SLICE):
-                _, _, sizes, one, _ = line_words([t for *_, t in group])
-                if len(one):
-                    line = np.repeat(np.arange(len(sizes)), sizes)
-                    words, index = np.unique(one, return_inverse=True)
-                    held = np.bincount(np.unique(line * len(words) + index) % len(words), minlength=len(words))
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(held)], names=["word", "n"])
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(sizes)])], names=["word", "n"])
-
-    counts = sample.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 or word is null")
-    top = counts.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(RANKED + 1).collect()
-    lines = top[0]["n"] if top and top[0]["word"] is None else 0
-    words = [r for r in top if r["word"] is not None]
-    return Rarity(np.array([r["word"] for r in words], np.int64).view(np.uint64), np.array([r["n"] for r in words], np.float64), lines, lines / share)
+                _, _, sizes, one, _ = line_words([t for *_, t in group], both=False)
+                code = np.sort(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + Rarity.bucket(one))
+                code = code[np.flatnonzero(np.diff(code, prepend=-1))]  # a line counts once
+                held += np.bincount(code % BUCKETS, minlength=BUCKETS)
+                total += len(sizes)
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(held[found], total))], names=["bucket", "n"])
+
+    counts = df.select(F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (counts.column(i).to_numpy() for i in range(2))
+    held = np.zeros(BUCKETS)
+    held[bucket[bucket >= 0]] = n[bucket >= 0]
+    return Rarity(held, int(n[bucket < 0].sum()))
 
 
 def pieces(texts: pa.Array, limit: int) -> Iterator[list[tuple[int, int, bytes]]]:

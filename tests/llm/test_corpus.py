@@ -847,6 +847,17 @@ def test_poor_lines_have_blocks():
         assert all(keys) and keys[0] & keys[1] and keys[2] & keys[3] and (rarity < 1 or keys[4] & keys[5])
 
 
+def test_rarities_count_all_lines(spark):
+    rows = [(i, f"all {'half' if i % 2 else 'other'} all\n\n{'seldom' if i % 3000 == 7 else 'often'} all") for i in range(9_000)]
+    for parts in (1, 5):
+        known = line_dedup.word_rarity(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), "text")
+        words = line_dedup.line_words([b"all half seldom unseen"])[3]
+        want = [18_000, 4_500, 3, 1]
+        assert known.line == pytest.approx(np.log2(18_000))
+        assert np.allclose(known(words), [min(np.log2(18_000 / n), line_dedup.RAREST) for n in want])
+    assert line_dedup.word_rarity(spark.createDataFrame([], "text string"), "text").line == 1
+
+
 def test_line_words_and_pieces():
     texts = [b"", b" \n", b"One  two\tONE\n\n\x0bthree\r\n", b"\n\nx", b"a\x00b \xc3\x89"]
     owner, number, sizes, one, two = line_dedup.line_words(texts)
