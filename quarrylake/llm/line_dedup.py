@@ -80,6 +80,9 @@ SLICE = 2 << 20
 PARITY_BITS = 256
 PARITIES = PARITY_BITS // 64
 BITS = [f"bits{i}" for i in range(PARITIES)]
+#: Bits of the finer parities that lines get where many of them are compared, and lines
+#: whose ones are counted at once.
+FINE_BITS, COUNTED = 1024, 1_000
 #: Pairs per posting up to which pairs are left to the join with its parities, and
 #: rounds of leaders before that happens anyway.
 PAIRS_PER_POSTING, ROUNDS = 64, 2
@@ -154,12 +157,12 @@ def line_digests(sizes: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[n
     return out[0], out[1]
 
 
-def parities(sizes: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits a line, each the parity of the number of words that fall on it:
+def parities(sizes: np.ndarray, one: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """So many bits a line, each the parity of the number of words that fall on it:
     where two lines differ in a bit, they differ in a word."""
     line = np.repeat(np.arange(len(sizes)), sizes)
-    odd = np.bincount(line * PARITY_BITS + (one % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(sizes) * PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), PARITIES)
+    odd = np.bincount(line * bits + (one % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), bits // 64)
 
 
 def simhash(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -454,6 +457,40 @@ def _texts(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     return own.mapInArrow(lambda it: common.released(run(it)), "place long, line string"), numbers
 
 
+def _fetched(df: DataFrame, key: str, text: str, lines: DataFrame, places: DataFrame) -> DataFrame:
+    """place and normalised line of a written table of places, written."""
+    wanted = lines.select("place", "id", "no", "d1").join(common.small_enough(places), "place")
+    texts, numbers = _texts(df, key, text, wanted)
+    words = common.materialize(texts, "words")
+    common.discard(numbers)
+    if words.count() > places.count():  # ids that repeat
+        words, before = common.materialize(words.dropDuplicates(["place"]), "words"), words
+        common.discard(before)
+    return words
+
+
+def _finer(df: DataFrame, key: str, text: str, lines: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Makes FINE_BITS parities of some nodes' lines, for the links' last step."""
+    names = [f"fine{i}" for i in range(FINE_BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 1, max_bytes=SLICE, max_rows=COUNTED):
+                _, _, sizes, one, _ = line_words(pc.cast(part.column(1), pa.binary()).to_pylist(), both=False)
+                bits = parities(sizes, one, FINE_BITS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(bits[:, i]) for i in range(len(names)))], names=["node", *names])
+
+    def make(nodes: DataFrame) -> DataFrame:
+        places = common.materialize(nodes.withColumnRenamed("node", "place"), "places")
+        words = _fetched(df, key, text, lines, places)
+        made = words.mapInArrow(lambda it: common.released(run(it)), ", ".join(f"{c} long" for c in ["node", *names]))
+        made = common.materialize(made.select("node", F.struct(*names).alias("bits")), "finer")
+        common.discard(places, words)
+        return made
+
+    return make
+
+
 def _verifier(df: DataFrame, key: str, text: str, lines: DataFrame, least: float):
     """Links among pairs of places, whose words are fetched from the documents."""
 
@@ -465,16 +502,11 @@ def _verifier(df: DataFrame, key: str, text: str, lines: DataFrame, least: float
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = common.materialize(pairs, "pairs")
         found = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "found")
-        wanted = lines.select("place", "id", "no", "d1").join(common.small_enough(found), "place")
-        texts, numbers = _texts(df, key, text, wanted)
-        words = common.materialize(texts, "words")
-        if words.count() > found.count():  # ids that repeat
-            words, before = common.materialize(words.dropDuplicates(["place"]), "words"), words
-            common.discard(before)
+        words = _fetched(df, key, text, lines, found)
         side = common.small_enough(words)
         both = pairs.join(side.select(F.col("place").alias("a"), F.col("line").alias("x")), "a").join(side.select(F.col("place").alias("b"), F.col("line").alias("y")), "b")
         linked = common.materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: common.released(run(it)), "a long, b long"), "linked")
-        common.discard(pairs, found, numbers, words)
+        common.discard(pairs, found, words)
         return linked
 
     return verify
@@ -533,6 +565,9 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         apart = sum(F.bit_count(x[c].bitwiseXOR(y[c])) for c in BITS)
         return (F.abs(x["size"] - y["size"]) <= total) & (apart <= total)
 
+    def alike_finely(x, y, size_x, size_y):
+        return sum(F.bit_count(x[f"fine{i}"].bitwiseXOR(y[f"fine{i}"])) for i in range(FINE_BITS // 64)) <= (1 - similarity) * (size_x["size"] + size_y["size"]) + 1e-9
+
     # All lines of a key are held against its first; a key of two is settled by that.
     own = nodes.select("d1", "place", F.struct("size", *BITS).alias("size"))
     heads = shared.select("first", "d1").distinct().join(own.withColumnRenamed("place", "y").withColumnRenamed("size", "size_y"), "d1")
@@ -542,7 +577,7 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     groups = common.materialize(links.components(linked), "labels")
     postings = common.materialize(shared.where("more").join(own, "d1").select("key", F.col("place").alias("node"), F.lit(0).alias("rank"), "size"), "postings")
     common.discard(shared, linked)
-    groups = links.shared_key_components(postings, verify, alike, rounds=ROUNDS, per_posting=PAIRS_PER_POSTING, labels=groups)
+    groups = links.shared_key_components(postings, verify, alike, rounds=ROUNDS, sketch=(_finer(df, key, text, lines), alike_finely), per_posting=PAIRS_PER_POSTING, labels=groups)
     common.discard(postings)
     repeated = nodes.join(common.small_enough(groups).withColumnRenamed("node", "place"), "place", "left").where("n > 1 or component is not null")
     repeated = common.materialize(repeated.select("d1", "d2", F.coalesce("component", "place").alias("component")), "repeated")

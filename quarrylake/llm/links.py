@@ -21,6 +21,8 @@ LEADER_ROUNDS = 6
 LEADERS = 4
 #: Pairs per posting up to which the rest is compared at once.
 PAIRS_PER_POSTING = 2
+#: Pairs per posting from which bits that have to be made are worth it.
+MANY_PAIRS = 8
 
 
 def _only_stars(e: DataFrame) -> bool:
@@ -58,7 +60,7 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame, Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING, labels: DataFrame | None = None) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame | Callable[[DataFrame], DataFrame], Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING, labels: DataFrame | None = None) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes
     ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
@@ -71,7 +73,9 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     instead of its square.
 
     ``sketch`` has a table (node, bits) and a condition on two nodes' bits and sizes that
-    every link meets; it thins out the pairs of the last step inside their join. Where
+    every link meets; it thins out the pairs of the last step inside their join. Instead
+    of the table it may have a function that makes it (written) for a table of nodes;
+    that is only asked where many pairs are left. Where
     ``fit`` does so itself, ``per_posting`` may leave more of them to that step.
     ``labels`` are components (node, component; written) that are known already.
     """
@@ -90,10 +94,13 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             last = i == rounds or left["pairs"] <= per_posting * left["m"]
         rest = rest.select("key", "node", "rank", "size", "comp")
         if last:
-            rest = rest.join(common.small_enough(sketch[0]), "node") if sketch else rest.withColumn("bits", F.lit(None))
+            thin = sketch[0] if sketch else None
+            if callable(thin):
+                thin = thin(rest.select("node").distinct()) if left["pairs"] > MANY_PAIRS * left["m"] else None
+            rest = rest.join(common.small_enough(thin), "node") if thin else rest.withColumn("bits", F.lit(None))
             one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "comp", "bits"))) for n in "xy")
             alike = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fit(F.col("size_x"), F.col("size_y"))
-            if sketch:
+            if thin:
                 alike = alike & sketch[1](*(F.col(c) for c in ("bits_x", "bits_y", "size_x", "size_y")))
             both = one.join(other, (one["key"] == other["key"]) & alike)
             pairs = _pairs(both.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")))

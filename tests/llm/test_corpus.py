@@ -847,6 +847,25 @@ def test_poor_lines_have_blocks():
         assert all(keys) and keys[0] & keys[1] and keys[2] & keys[3] and (rarity < 1 or keys[4] & keys[5])
 
 
+def test_lines_that_share_a_passage_are_told_apart_in_the_join(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    rows = [" ".join([*(word() for _ in range(18)), *passage]) for _ in range(110)]  # 36 words apart, 31 would link
+    rows += [" ".join(word() for _ in range(8)) for _ in range(2_000)]
+    held, verifier = [], line_dedup._verifier
+
+    def counted(*args):
+        verify = verifier(*args)
+        return lambda pairs: held.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(line_dedup, "_verifier", counted)
+    near = rows[0].replace(rows[0].split()[0], "else", 1)
+    gone = line_dedup.dropped_lines(spark.createDataFrame(list(enumerate([*rows, near])), "doc_id long, text string")).collect()
+    assert [(r["id"], r["numbers"]) for r in gone] == [(len(rows), [0])]
+    assert sum(held) < 600, held
+
+
 def test_rarities_count_all_lines(spark):
     rows = [(i, f"all {'half' if i % 2 else 'other'} all\n\n{'seldom' if i % 3000 == 7 else 'often'} all") for i in range(9_000)]
     for parts in (1, 5):
