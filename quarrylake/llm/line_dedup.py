@@ -83,9 +83,9 @@ BITS = [f"bits{i}" for i in range(PARITIES)]
 #: Bits of the finer parities that lines get where many of them are compared, and lines
 #: whose ones are counted at once.
 FINE_BITS, COUNTED = 1024, 1_000
-#: Pairs per posting up to which pairs are left to the join with its parities, and
-#: rounds of leaders before that happens anyway.
-PAIRS_PER_POSTING, ROUNDS = 64, 2
+#: Pairs per posting up to which pairs are left to the join with its parities, the same
+#: once a round of leaders settles few, and rounds before that happens anyway.
+PAIRS_PER_POSTING, SLOWLY, ROUNDS = 8, 64, 6
 #: Odd numbers that mix hashes (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -577,7 +577,7 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     groups = common.materialize(links.components(linked), "labels")
     postings = common.materialize(shared.where("more").join(own, "d1").select("key", F.col("place").alias("node"), F.lit(0).alias("rank"), "size"), "postings")
     common.discard(shared, linked)
-    groups = links.shared_key_components(postings, verify, alike, rounds=ROUNDS, sketch=(_finer(df, key, text, lines), alike_finely), per_posting=PAIRS_PER_POSTING, labels=groups)
+    groups = links.shared_key_components(postings, verify, alike, rounds=ROUNDS, sketch=(_finer(df, key, text, lines), alike_finely), per_posting=PAIRS_PER_POSTING, labels=groups, slow=SLOWLY)
     common.discard(postings)
     repeated = nodes.join(common.small_enough(groups).withColumnRenamed("node", "place"), "place", "left").where("n > 1 or component is not null")
     repeated = common.materialize(repeated.select("d1", "d2", F.coalesce("component", "place").alias("component")), "repeated")

@@ -23,6 +23,8 @@ LEADERS = 4
 PAIRS_PER_POSTING = 2
 #: Pairs per posting from which bits that have to be made are worth it.
 MANY_PAIRS = 8
+#: Share of the pairs that a slow round of leaders leaves.
+SLOW = 0.75
 
 
 def _only_stars(e: DataFrame) -> bool:
@@ -60,7 +62,7 @@ def several(postings: DataFrame) -> DataFrame:
     return postings.join(postings.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1").select("key"), "key")
 
 
-def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame | Callable[[DataFrame], DataFrame], Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING, labels: DataFrame | None = None) -> DataFrame:
+def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], fit: Callable[[Column, Column], Column], rounds: int = LEADER_ROUNDS, sketch: tuple[DataFrame | Callable[[DataFrame], DataFrame], Callable[..., Column]] | None = None, per_posting: int = PAIRS_PER_POSTING, labels: DataFrame | None = None, slow: int = 0) -> DataFrame:
     """Components of the graph whose links are the pairs of nodes that share a key of
     ``postings`` (key, node, rank, size; written before, each row once), whose sizes
     ``fit`` each other, and which pass ``verify`` (pairs a, b in, links out).
@@ -75,10 +77,14 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
     ``sketch`` has a table (node, bits) and a condition on two nodes' bits and sizes that
     every link meets; it thins out the pairs of the last step inside their join. Instead
     of the table it may have a function that makes it (written) for a table of nodes;
-    that is only asked where many pairs are left. Where
+    that is only asked where many pairs are left, and thins out those of all steps from
+    there. Where
     ``fit`` does so itself, ``per_posting`` may leave more of them to that step.
     ``labels`` are components (node, component; written) that are known already.
+    Up to ``slow`` pairs per posting, a round of leaders that leaves more than SLOW of
+    the pairs is the last one.
     """
+    pairs_before, made = 0, None
     for i in range(0 if labels is None else 1, rounds + 1):
         if labels is None:
             rest, last, mixed = postings.withColumn("comp", F.col("node")), False, None
@@ -91,13 +97,17 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
             if not left["pairs"]:
                 break
             rest = named.join(common.small_enough(mixed.select("key")), "key")
-            last = i == rounds or left["pairs"] <= per_posting * left["m"]
+            enough = slow if 0 < SLOW * pairs_before < left["pairs"] else 0
+            last, pairs_before = i == rounds or left["pairs"] <= max(per_posting, enough) * left["m"], left["pairs"]
         rest = rest.select("key", "node", "rank", "size", "comp")
+        thin = sketch[0] if sketch and last else None
+        if sketch and callable(sketch[0]):
+            if not made and mixed and left["pairs"] > MANY_PAIRS * left["m"]:
+                made = sketch[0](rest.select("node").distinct())  # later steps have no other nodes
+            thin = made
+        rest = rest.join(common.small_enough(thin), "node") if thin else rest
         if last:
-            thin = sketch[0] if sketch else None
-            if callable(thin):
-                thin = thin(rest.select("node").distinct()) if left["pairs"] > MANY_PAIRS * left["m"] else None
-            rest = rest.join(common.small_enough(thin), "node") if thin else rest.withColumn("bits", F.lit(None))
+            rest = rest if thin else rest.withColumn("bits", F.lit(None))
             one, other = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "comp", "bits"))) for n in "xy")
             alike = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fit(F.col("size_x"), F.col("size_y"))
             if thin:
@@ -107,8 +117,11 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
         else:
             order = F.struct("rank", "node") if i == 0 else F.struct(F.xxhash64("node", F.lit(i)), "node")
             salted = rest.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1 - i)), F.lit(LEADERS)))
-            heads = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "comp", "size"), order).alias("head")).select("key", "head")
-            both = rest.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fit(F.col("size"), F.col("head.size")))
+            heads = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "comp", "size", *(["bits"] if thin else [])), order).alias("head")).select("key", "head")
+            alike = (F.col("comp") != F.col("head.comp")) & fit(F.col("size"), F.col("head.size"))
+            if thin:
+                alike = alike & sketch[1](*(F.col(c) for c in ("bits", "head.bits", "size", "head.size")))
+            both = rest.join(heads, "key").where(alike)
             pairs = _pairs(both.select(F.col("node").alias("x"), F.col("head.node").alias("y")))
         found = verify(pairs)
         found = found if hasattr(found, "_written_to") else common.materialize(found.select("a", "b"), "links")
@@ -120,4 +133,5 @@ def shared_key_components(postings: DataFrame, verify: Callable[[DataFrame], Dat
         common.discard(found)
         if last:
             break
+    common.discard(made)
     return labels

@@ -866,6 +866,32 @@ def test_lines_that_share_a_passage_are_told_apart_in_the_join(spark, monkeypatc
     assert sum(held) < 600, held
 
 
+def test_copies_under_first_lines_unlike_them_are_not_squared(spark, monkeypatch):
+    """Every key's first line links with nothing, so the copies meet through leaders."""
+    rng = random.Random(6)
+    passage = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+
+    def line(n, fit):
+        while True:
+            words = [*(f"w{rng.randrange(10**9)}" for _ in range(n)), *passage]
+            if fit(line_dedup.line_digests(*line_dedup.line_words([" ".join(words).encode()])[2:])[0][0]):
+                return " ".join(words)
+
+    unlike = [line(22, lambda d: d < -(15 << 59)) for _ in range(50)]  # 34 words and more apart, 32 would link
+    copies = [line(12, lambda d: d > 0) for _ in range(60)]  # 24 words apart, 28 would link
+    rows = [*copies, *unlike, *(" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(2_000))]
+    held, verifier = [], line_dedup._verifier
+
+    def counted(*args):
+        verify = verifier(*args)
+        return lambda pairs: held.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(line_dedup, "_verifier", counted)
+    gone = line_dedup.dropped_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["numbers"]) for r in gone) == [(i, [0]) for i in range(1, 60)]
+    assert sum(held) < 1_000, held
+
+
 def test_rarities_count_all_lines(spark):
     rows = [(i, f"all {'half' if i % 2 else 'other'} all\n\n{'seldom' if i % 3000 == 7 else 'often'} all") for i in range(9_000)]
     for parts in (1, 5):
