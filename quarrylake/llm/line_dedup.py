@@ -26,8 +26,8 @@ are counted over all lines of the table, by buckets of word hashes. Of the
 pairs that share a block, those whose sizes or word parities (256 bits) differ too much
 for a link are left out inside the join.
 
-Scale: what is shuffled is a narrow row per line (digest and place) and a row per
-posted block (two numbers); the words of a line are fetched only for lines that share a
+Scale: what is shuffled is a narrow row per line (digest and place) and two numbers per
+posted block, packed by ranges of keys and sorted in the Python tasks; the words of a line are fetched only for lines that share a
 block with another. A block shared by many lines is compared through leaders (see
 ``links``), not squared. Broadcasts are bounded by their counted bytes.
 
@@ -86,6 +86,10 @@ FINE_BITS, COUNTED = 1024, 1_000
 #: Pairs per posting up to which pairs are left to the join with its parities, the same
 #: once a round of leaders settles few, and rounds before that happens anyway.
 PAIRS_PER_POSTING, SLOWLY, ROUNDS = 8, 64, 6
+#: Ranges of buckets whose counts make a row; postings that a task packs at once; bits of
+#: the least number of parts that keys are packed into, and of the lines for each part
+#: beyond; rows of a part that are sorted at once.
+RANGES, PACKED, PART_BITS, LINES_A_PART, SORTED = 64, 1 << 18, 8, 16, 1 << 21
 #: Odd numbers that mix hashes (arbitrary fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -321,7 +325,8 @@ class Rarity:
 
 
 def word_rarity(df: DataFrame, text: str) -> Rarity:
-    """Rarities from all lines of the table; a row per bucket reaches the driver."""
+    """Rarities from all lines of the table; a count per bucket reaches the driver. Tasks
+    give ranges of buckets as one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = np.zeros(BUCKETS, np.int64), 0
@@ -332,14 +337,22 @@ def word_rarity(df: DataFrame, text: str) -> Rarity:
                 code = code[np.flatnonzero(np.diff(code, prepend=-1))]  # a line counts once
                 held += np.bincount(code % BUCKETS, minlength=BUCKETS)
                 total += len(sizes)
-        found = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(held[found], total))], names=["bucket", "n"])
+        if total:
+            parts = [x.tobytes() for x in held.reshape(RANGES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, RANGES), pa.int32()), pa.array([np.int64(total).tobytes(), *parts])], names=["part", "n"])
 
-    counts = df.select(F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = (counts.column(i).to_numpy() for i in range(2))
-    held = np.zeros(BUCKETS)
-    held[bucket[bucket >= 0]] = n[bucket >= 0]
-    return Rarity(held, int(n[bucket < 0].sum()))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "n"])
+
+    counts = df.select(F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), "part int, n binary")
+    counts = dict(zip(*(c.to_pylist() for c in counts.repartition("part").mapInArrow(lambda it: common.released(add(it)), "part int, n binary").toArrow().columns), strict=True))
+    if not counts:
+        return Rarity(np.zeros(BUCKETS), 0)
+    return Rarity(np.concatenate([np.frombuffer(counts[i], np.int64) for i in range(RANGES)]), int(np.frombuffer(counts[-1], np.int64)[0]))
 
 
 def pieces(texts: pa.Array, limit: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -364,17 +377,38 @@ def pieces(texts: pa.Array, limit: int) -> Iterator[list[tuple[int, int, bytes]]
         yield group
 
 
+def with_packed(lines: pa.RecordBatch, posted: list[np.ndarray], part_bits: int) -> pa.RecordBatch:
+    """The lines, the first with the postings (key, d1) by the first bits of their keys."""
+    rows = np.concatenate(posted) if posted else np.zeros((0, 2), np.int64)
+    part = (rows[:, 0].view(np.uint64) >> np.uint64(64 - part_bits)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], np.ascontiguousarray(rows[order])
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = (16 * np.append(heads, len(part))).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+    both = pa.StructArray.from_arrays([pa.array(part[heads], pa.int32()), packed], names=["part", "rows"])
+    lists = np.full(lines.num_rows + 1, len(heads), np.int32)
+    lists[0] = 0
+    return lines.append_column("packed", pa.ListArray.from_arrays(pa.array(lists), both))
+
+
 def _lines(df: DataFrame, key: str, text: str, min_words: int, similarity: float) -> DataFrame:
     """id, no, digest (d1, d2) and size (words) of every line that holds a word; of
-    the first of equal ones in a slice also the posted keys and the parities."""
+    the first of equal ones in a slice also the parities. Their posted keys are packed:
+    some rows have those of many lines."""
     known = word_rarity(df, text)
+    part_bits = max(PART_BITS, int(np.ceil(known.line)) - LINES_A_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, posted, held = None, [], 0
         for batch in batches:
             for group in pieces(batch.column(1), SLICE):
                 owner, number, sizes, one, two = line_words([t for *_, t in group])
                 if not len(one):
                     continue
+                if ready:
+                    yield with_packed(ready, posted if held >= PACKED else [], part_bits)
+                    posted, held = ([], 0) if held >= PACKED else (posted, held)
                 d1, d2 = line_digests(sizes, one, two)
                 number = number + np.array([n for _, n, _ in group], np.int64)[owner]
                 owner = np.array([i for i, *_ in group], np.int64)[owner]
@@ -382,19 +416,19 @@ def _lines(df: DataFrame, key: str, text: str, min_words: int, similarity: float
                 fresh = np.sort(fresh[sizes[fresh] >= min_words])
                 n, place = sizes[fresh], words_of(fresh, sizes)
                 line, keys = candidate_keys(n, one[place], two[place], known, known.line, min_words, similarity)
-                lengths = np.zeros(len(sizes), np.int64)
-                lengths[fresh] = np.bincount(line, minlength=len(fresh))
-                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                posted.append(np.stack([keys, d1[fresh][line]], axis=1))
+                held += len(keys)
                 none = np.ones(len(sizes), bool)
                 none[fresh] = False
                 bits = np.zeros((len(sizes), PARITIES), np.int64)
                 bits[fresh] = parities(n, one[place])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(none))
-                columns = [batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(d1), pa.array(d2), pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, i], mask=none) for i in range(PARITIES))], names=["id", "no", "d1", "d2", "size", "keys", *BITS])
+                columns = [batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(d1), pa.array(d2), pa.array(sizes, pa.int32())]
+                ready = pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, i], mask=none) for i in range(PARITIES))], names=["id", "no", "d1", "d2", "size", *BITS])
+        if ready:
+            yield with_packed(ready, posted, part_bits)
 
     long = lambda name: T.StructField(name, T.LongType())
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("no", T.IntegerType()), long("d1"), long("d2"), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), *map(long, BITS)])
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("no", T.IntegerType()), long("d1"), long("d2"), T.StructField("size", T.IntegerType()), *map(long, BITS), T.StructField("packed", T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())])))])
     return df.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).cast("string")).mapInArrow(lambda it: common.released(run(it)), schema)
 
 
@@ -550,6 +584,61 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*held, np.zeros(1, bool))
 
 
+def _shared_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_shared``, from packed rows in the order of their parts. Of a part of very
+    many rows those of keys of three lines or more go out early; what stays in memory is
+    their first lines, and two rows at most of other keys."""
+    names = ["key", "d1", "first", "more"]
+    none = np.zeros(0, np.int64)
+
+    def settled(held: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], last: bool):
+        """Rows to give out, rows that are left, and the keys (in order) and first lines of those that go out at once."""
+        key, d1 = np.concatenate(held).T
+        out = []
+        if len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+            met = known[0][at] == key
+            first, new = known[1][at], met & (d1 != known[1][at])
+            out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (key[new], d1[new], first[new], np.ones(int(new.sum()), bool))], names=names))
+            key, d1 = key[~met], d1[~met]
+        order = np.argsort(key)
+        key, d1 = key[order], d1[order]
+        if last:  # only keys of several rows matter
+            same = key[1:] == key[:-1]
+            several = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+            out += _shared(iter([pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(d1[several])], names=names[:2])]))
+            return out, [], known
+        order = np.lexsort((d1, key))
+        key, d1 = key[order], d1[order]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])) if len(key) else np.zeros(0, bool)
+        key, d1 = key[fresh], d1[fresh]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else none
+        sizes = np.diff(np.append(heads, len(key)))
+        first, many = np.repeat(d1[heads], sizes), np.repeat(sizes > 2, sizes)
+        new = many & (d1 != first)
+        out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (key[new], d1[new], first[new], many[new])], names=names))
+        keys, firsts = (np.concatenate([x, y[heads[sizes > 2]]]) for x, y in zip(known, (key, d1), strict=True))
+        order = np.argsort(keys)
+        return out, [np.stack([key[~many], d1[~many]], axis=1)], (keys[order], firsts[order])
+
+    part, held, size, most, known = None, [], 0, SORTED, (none, none)
+    for batch in batches:
+        for p, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part and held:
+                yield from settled(held, known, True)[0]
+                held, size, most, known = [], 0, SORTED, (none, none)
+            part = p
+            held.append(np.frombuffer(rows, np.int64).reshape(-1, 2))
+            size += len(held[-1])
+            if size >= most:
+                out, held, known = settled(held, known, False)
+                yield from out
+                size = len(held[0])
+                most = size + SORTED
+    if held:
+        yield from settled(held, known, True)[0]
+
+
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id and the numbers of its lines that repeat a kept one, written."""
     common.bound_batches(df.sparkSession)
@@ -557,8 +646,8 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     nodes = lines.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("size", *BITS)))
     nodes = common.materialize(nodes, "nodes")
     # Equal lines of several slices post the same keys; only keys of different lines count.
-    posted = lines.where("keys is not null").select(F.explode("keys").alias("key"), "d1")
-    shared = common.materialize(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, d1 long, first long, more boolean"), "shared")
+    posted = lines.select(F.explode("packed").alias("p")).select("p.part", "p.rows")
+    shared = common.materialize(posted.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_packed, "key long, d1 long, first long, more boolean"), "shared")
 
     def alike(x, y):
         total = (1 - similarity) * (x["size"] + y["size"]) + 1e-9

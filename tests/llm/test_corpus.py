@@ -837,6 +837,26 @@ def test_shared_keys_are_found_across_batches():
         assert all(m for k, _, _, m in found if len(own[k]) > 2)
 
 
+def test_packed_keys_are_found_whatever_is_sorted_at_once(monkeypatch):
+    lines = pa.RecordBatch.from_arrays([pa.array([1, 2, 3])], names=["id"])
+    for seed, most in enumerate((1 << 21, 7, 40) * 20):
+        monkeypatch.setattr(line_dedup, "SORTED", most)
+        rng = np.random.default_rng(seed)
+        rows = [(int(k) << 59 | 1, int(d)) for k, d in zip(rng.integers(-16, 16, 6 * seed), rng.integers(0, 6, 6 * seed))]
+        packed = [line_dedup.with_packed(lines, [np.array(rows[i : i + 30], np.int64).reshape(-1, 2)], 2)["packed"].to_pylist() for i in range(0, len(rows), 30)]
+        assert all(len(x[0]) <= 4 and x[1:] == [[], []] for x in packed)  # 30 postings make four rows at most
+        parts = sorted((r for x in packed for r in x[0]), key=lambda r: r["part"])
+        batches = [pa.RecordBatch.from_pylist(parts[i : i + 3], pa.schema([("part", pa.int32()), ("rows", pa.binary())])) for i in range(0, len(parts), 3)]
+        found = [tuple(r.values()) for b in line_dedup._shared_packed(iter(batches)) for r in b.to_pylist()]
+        own = collections.defaultdict(set)
+        for k, d in rows:
+            own[k].add(d)
+        first = {k: f for k, _, f, _ in found}
+        assert all(first[k] == f and d != f for k, d, f, _ in found)
+        assert {(k, d) for k, d, *_ in found} == {(k, d) for k, o in own.items() if len(o) > 1 for d in o if d != first[k]}
+        assert all(m for k, _, _, m in found if len(own[k]) > 2)
+
+
 def test_poor_lines_have_blocks():
     """Lines of few and common words: cut by a tenth they still share a block."""
     lines = [[b"w"] * 50, [b"w"] * 46, [b"a", b"b"] * 30, [b"a", b"b"] * 28, [b"|"] * 80 + [b"x", b"y", b"z"], [b"|"] * 76 + [b"x", b"y", b"z", b"new"]]
