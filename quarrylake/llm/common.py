@@ -102,12 +102,18 @@ def row_bytes(schema: T.StructType) -> Column:
     return sum((width(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
 
 
+def small(df: DataFrame, max_bytes: int) -> bool:
+    """Whether the counted bytes of the rows of a *materialized* table, or of a few of
+    them, are within ``max_bytes``."""
+    if hasattr(df, "_written_to") and _files(df)[0].getContentSummary(_files(df)[1]).getLength() <= min(SURELY_SMALL, max_bytes // 16):
+        return True
+    return (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= max_bytes
+
+
 def small_enough(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a *materialized* side for broadcast only when its rows' counted bytes are
     within ``max_bytes``; beyond that the planner is left to shuffle."""
-    if hasattr(df, "_written_to") and _files(df)[0].getContentSummary(_files(df)[1]).getLength() <= min(SURELY_SMALL, max_bytes // 16):
-        return F.broadcast(df)
-    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= max_bytes else df
+    return F.broadcast(df) if small(df, max_bytes) else df
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -1,20 +1,30 @@
 """Connected components, and components over shared keys, without emitting all pairs.
 
-Everything stays distributed: links, labels and postings are tables in the shared
-folder, never collected. Iterations are cut by written tables, so a lost executor
-repeats one step. Sides are broadcast only after they are counted.
+Links, labels and postings are tables in the shared folder, never collected. Iterations
+are cut by written tables, so a lost executor repeats one step. Sides are broadcast only
+after they are counted; links of no more counted bytes than that are grouped in one task,
+all others stay distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
+#: Counted bytes of links up to which one task groups them all: steps of stars are dozens
+#: of short stages, and take as long for a few links as for many.
+ALONE_BYTES = common.BROADCAST_BYTES
+#: Types of nodes whose order there is Spark's.
+ORDERED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BinaryType)
 #: Rounds of leaders before what is left is compared pair by pair.
 LEADER_ROUNDS = 6
 #: Leaders of a key in a round.
@@ -34,14 +44,46 @@ def _only_stars(e: DataFrame) -> bool:
     return wrong.isEmpty()
 
 
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n points the least one that the links a, b lead to. Every round hangs
+    each top to the least top beside it, and all points to their new tops."""
+    top = np.arange(n)
+    while len(a):
+        a, b = top[a], top[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := top[top], top):
+            top = up
+    return top
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and component of all links (u, v) of the batches."""
+    found = list(batches)
+    if not found:
+        return
+    ends = pa.chunked_array([b.column(i) for i in range(2) for b in found])
+    nodes = ends.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    at = pc.index_in(ends, value_set=nodes).to_numpy()
+    top = least_reached(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))
+    yield from pa.table([nodes, nodes.take(pa.array(top))], names=["node", "component"]).to_batches()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its least node) for all nodes of ``edges`` (a, b).
+    """``node`` and ``component`` (its least node) for all nodes of ``edges`` (a, b;
+    written, or read from what is).
 
-    Alternates large and small stars: every step hangs a node's neighbours to the
-    least of them, until each component is one star.
+    Few links are grouped in one task. Otherwise large and small stars alternate: every
+    step hangs a node's neighbours to the least of them, until each component is one star.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = common.materialize(e, "edges")
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    kind = e.schema["u"].dataType
+    if (isinstance(kind, ORDERED) or kind == T.StringType()) and common.small(edges, ALONE_BYTES):
+        schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+        return e.coalesce(1).mapInArrow(lambda it: common.released(_grouped(it)), schema)
+    e = common.materialize(e.distinct(), "edges")
     while not _only_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

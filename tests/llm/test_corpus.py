@@ -604,6 +604,30 @@ def test_components_of_chains_and_stars(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_are_grouped_without_rounds_of_jobs(spark):
+    chain = common.materialize(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(7, 7), (None, 900)], "a long, b long").repartition(3), "edges")
+    spark.sparkContext.setJobGroup("few", "few links")
+    try:
+        got = links.components(chain).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == [(i, 0) for i in range(301)]
+    assert len(jobs) <= 2
+    common.discard(chain)
+
+
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+def test_many_links_have_the_same_components(spark, monkeypatch, kind):
+    rng = np.random.default_rng(16)
+    name = {"long": lambda x: int(x) - 100, "binary": lambda x: bytes([(x * 7) % 256]), "string": lambda x: chr(0xFFF0 + x % 8) + chr(97 + x // 8) if x % 2 else chr(0x10000 + x)}[kind]
+    edges = spark.createDataFrame([(name(int(a)), name(int(b))) for a, b in rng.integers(0, 200, (110, 2))] + [(name(i), name(i + 1)) for i in range(20)], f"a {kind}, b {kind}")
+    few = [tuple(bytes(x) if kind == "binary" else x for x in r) for r in links.components(edges).collect()]
+    monkeypatch.setattr(links, "ALONE_BYTES", 0)
+    many = [tuple(bytes(x) if kind == "binary" else x for x in r) for r in links.components(edges).collect()]
+    assert sorted(few) == sorted(many) and len({c for _, c in few}) > 10
+
+
 def test_shared_keys_lose_no_link(spark):
     rng = np.random.default_rng(7)
     linked = {(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.04}
